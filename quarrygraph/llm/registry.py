@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+from . import mixing
+from .language_id import op2_language_id
 from .near_dedup import op1_near_dedup
 
-QUERIES = {"op1_near_dedup": op1_near_dedup}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
+    "op2_language_id": op2_language_id,
+    "op6_mixing": mixing.op6_mixing,
+}
+ORACLES = {
+    "op6_mixing": mixing.ORACLE,
+}
