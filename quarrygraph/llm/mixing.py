@@ -45,8 +45,8 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], share_percent: i
     before = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("_rank")).rowsBetween(Window.unboundedPreceding, -1)
     level = (F.sum("source_size").over(every) * share_percent / 100 - F.coalesce(F.sum("_cap").over(before), F.lit(0))) / (F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0)))
     tried = capped.withColumn("_level", level)
-    lowest = F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(every)
-    return tried.withColumn("_final", lowest).select("source", "source_size", F.round(F.least(F.col("_cap").cast("double"), F.coalesce(F.col("_final") * F.col("_w"), F.col("_cap").cast("double"))), 6).alias("target"))
+    level_met = F.max(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(every)
+    return tried.withColumn("_final", level_met).select("source", "source_size", F.round(F.least(F.col("_cap").cast("double"), F.coalesce(F.col("_final") * F.col("_w"), F.col("_cap").cast("double"))), 6).alias("target"))
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ tried AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 150 / 100 - coalesce(s
     / ((sum(w) OVER ())::DOUBLE - coalesce(sum(w) OVER b, 0)::DOUBLE) AS lvl
   FROM weighed WINDOW b AS (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 planned AS (SELECT source, source_size,
-    round(least(cap::DOUBLE, coalesce((min(CASE WHEN lvl * w <= cap THEN lvl END) OVER ()) * w, cap::DOUBLE)), 6) AS target FROM tried),
+    round(least(cap::DOUBLE, coalesce((max(CASE WHEN lvl * w <= cap THEN lvl END) OVER ()) * w, cap::DOUBLE)), 6) AS target FROM tried),
 split AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::INTEGER ELSE 0 END AS whole FROM planned),
 running AS (SELECT s.*, p.source_size, p.target, p.whole,
     sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
