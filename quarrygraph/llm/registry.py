@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import line_quality, mixing
 from .language_id import op2_language_id
 from .near_dedup import op1_near_dedup
 
@@ -10,7 +10,9 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
     "op6_mixing": mixing.op6_mixing,
+    "op9_line_quality": line_quality.op9_line_quality,
 }
 ORACLES = {
     "op6_mixing": mixing.ORACLE,
+    "op9_line_quality": line_quality.ORACLE,
 }
