@@ -31,7 +31,7 @@ from .components import connected_components
 
 LABELS = 128
 TREES = 16
-NEIGHBOURS = 3
+NEIGHBOURS = 4
 HUBS = 3
 #: Candidates whose signatures agree on less than the threshold minus this are not confirmed: four standard errors.
 SLACK = 0.125
@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     settled = durable(connected_components(chains.unionByName(more)))
     owned = settled.join(classes.select("node", "doc"), "node")
     owners = owned.groupBy("root").agg(F.min("doc").alias("owner"))
-    owner = classes.select("node", "doc").join(settled.join(owners, "root").select("node", "owner"), "node", "left").select(F.col("node").alias("of"), F.coalesce("owner", "doc").alias("owner"))
+    named = classes.select("node", "doc").join(settled.join(owners, "root").select("node", "owner"), "node", "left")
+    owner = durable(named.select(F.col("node").alias("of"), F.coalesce("owner", "doc").alias("owner")))  # a plain table, so that the join below can split a class with many rows
     joined = marked.select("doc_id", "n", "node").join(owner, F.col("node") == F.col("of"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("owner"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
