@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from . import line_quality, mixing
+from .html_extract import op3_html_extract
 from .language_id import op2_language_id
 from .near_dedup import op1_near_dedup
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
+    "op3_html_extract": op3_html_extract,
     "op6_mixing": mixing.op6_mixing,
     "op9_line_quality": line_quality.op9_line_quality,
 }
