@@ -6,12 +6,16 @@ from . import line_quality, mixing
 from .html_extract import op3_html_extract
 from .language_id import op2_language_id
 from .near_dedup import op1_near_dedup
+from .token_files import op4_token_files
+from .transport_media import op7_transport_media
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_language_id": op2_language_id,
     "op3_html_extract": op3_html_extract,
+    "op4_token_files": op4_token_files,
     "op6_mixing": mixing.op6_mixing,
+    "op7_transport_media": op7_transport_media,
     "op9_line_quality": line_quality.op9_line_quality,
 }
 ORACLES = {
