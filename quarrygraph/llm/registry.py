@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import line_quality, mixing
+from .byte_bpe import op10_byte_bpe
 from .html_extract import op3_html_extract
 from .language_id import op2_language_id
 from .near_dedup import op1_near_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_transport_media": op7_transport_media,
     "op9_line_quality": line_quality.op9_line_quality,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 ORACLES = {
     "op6_mixing": mixing.ORACLE,
