@@ -5,8 +5,7 @@ ascending doc_id order, one file for each range. A row holds the ids of one docu
 of its range and the ids before it within the range; readers take stripes in parallel, and filters on doc_id prune files,
 stripes and row groups by their statistics and Bloom filters.
 
-A text is encoded by parts between ASCII white space: the vocabulary's rules (normal form, lower case, splitting) never
-look across it, so equal parts have equal ids and are encoded once while a bounded store holds them.
+Equal pieces of text have equal ids and are encoded once while a bounded store holds them.
 
 Defined cases: null text is empty and has the end id alone; rows with a null doc_id come first; rows that repeat a
 doc_id stand in the order of their texts; an empty table gives an empty result; further columns, whatever their names, are ignored.
@@ -14,6 +13,7 @@ doc_id stand in the order of their texts; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,29 +32,63 @@ ROW_INDEX_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 _STORE = 600_000
 _GROUP_BYTES = 2_000_000
+#: Texts of these characters need no normal form, and their lower case is one to one.
+_PLAIN = re.compile("[\\x00-\\x7fÀ-ÖØ-öø-ÿ]*")
+#: How the vocabulary splits such a text once it is in lower case (fixed by the file).
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \\t-\\ra-zß-öø-ÿ0-9]+")
 _ENCODERS: dict[str, PartEncoder] = {}
 
 
 class PartEncoder:
-    """Ids of UTF-8 texts as little-endian unsigned 32-bit integers."""
+    """Ids of UTF-8 texts as little-endian unsigned 32-bit integers.
+
+    Plain texts (ASCII and the letters of Latin-1, without a special token's mark) are split here as the vocabulary's
+    rules split them, so that a piece is known whatever its case and neighbours; each new piece is encoded by the
+    library. Other texts go to the library by parts between ASCII white space.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        fresh = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(fresh) > _STORE:
-            self.known.clear()
-            fresh = list(set().union(*split))
+        self.pieces: dict[str, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(True), bool)
+        for token, k in self.tokenizer.get_vocab(True).items():
+            self.ends[k] = token.endswith("</w>")
+
+    def _learn_pieces(self, fresh: list[str]) -> None:
+        """Every piece is one pre-token and so ends with its only word-end token: many are encoded as one text."""
+        for k in range(0, len(fresh), 5_000):
+            some = fresh[k : k + 5_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(some):
+                raise ValueError("pieces and word ends differ")
+            for piece, a, b in zip(some, [0, *ends], ends):
+                self.pieces[piece] = raw[4 * a : 4 * b]
+
+    def _learn_parts(self, fresh: list[bytes]) -> None:
         for k in range(0, len(fresh), 20_000):
             some = fresh[k : k + 20_000]
             for part, found in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-                self.known[part] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, parts)) for parts in split]
+                self.parts[part] = np.array(found.ids, "<u4").tobytes()
+
+    def _known(self, store: dict, split: list[list], learn) -> dict:
+        fresh = set().union(*split).difference(store)
+        if len(store) + len(fresh) > _STORE:
+            store.clear()
+            fresh = set().union(*split)
+        learn(list(fresh))
+        return store
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        said = [t.decode() for t in texts]
+        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in said]
+        split = [_PIECE.findall(t.lower()) if p else raw.split() for t, raw, p in zip(said, texts, plain)]
+        pieces = self._known(self.pieces, [s for s, p in zip(split, plain) if p], self._learn_pieces)
+        parts = self._known(self.parts, [s for s, p in zip(split, plain) if not p], self._learn_parts)
+        return [b"".join(map((pieces if p else parts).__getitem__, s)) for s, p in zip(split, plain)]
 
 
 def _encoder(path: str) -> PartEncoder:
