@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import read
 
@@ -206,27 +207,44 @@ def training_samples(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, sample_r
     return {lang: " ".join(p)[:sample_chars] for lang, p in parts.items()}
 
 
-def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, phrase_rate) of every row."""
+#: What annotate adds; the names are unlikely to be a table's own.
+ADDED = "__lang_pred string, __score double, __phrase_rate double"
+
+
+def annotate(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
+    """docs with __lang_pred, __score and __phrase_rate of their text; other columns pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(samples)
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shared.value)
         for batch in batches:
             langs, scores, rates = [], [], []
-            texts, size, start = batch.column(2), 0, 0
+            texts, size, start = batch.column(place), 0, 0
             for i in range(len(batch)):
-                size += len(texts[i].as_buffer() or b"") if texts[i].is_valid else 0
+                size += len(texts[i].as_buffer()) if texts[i].is_valid else 0
                 if size > 4_000_000 or i == len(batch) - 1:
                     a, b, c = parser.predict(texts.slice(start, i + 1 - start).to_pylist())
                     langs += a
                     scores += b
                     rates += c
                     start, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score", "phrase_rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=[*batch.schema.names, "__lang_pred", "__score", "__phrase_rate"])
+
+    added = StructType.fromDDL(ADDED)
+    return docs.mapInArrow(run, StructType(docs.schema.fields + added.fields))
 
+
+def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, phrase_rate) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, phrase_rate double")
+    return annotate(rows, samples).select("doc_id", "held_out", F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"), F.col("__phrase_rate").alias("phrase_rate"))
+
+
+def accepted(docs: DataFrame, samples: dict[str, str], max_rate: float = 0.5, min_chars: int = 200) -> DataFrame:
+    """The rows whose text is in a known language: it has a letter and, from min_chars characters on, no more than max_rate phrases for each letter."""
+    good = (F.col("__lang_pred") != UND) & ((F.length("text") < min_chars) | (F.col("__phrase_rate") <= max_rate))
+    return annotate(docs, samples).where(good).select(*docs.columns)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

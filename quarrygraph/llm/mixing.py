@@ -67,18 +67,37 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("_key", "edge")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of every row; copies is how often the mix takes the row."""
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    sized = durable(docs.select("doc_id", F.col("source").cast("string").alias("source"), key.alias("_key"), F.size(words(F.col("text").cast("string"))).cast("long").alias("size"), row_hash().alias("_hash")))
+def _key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+
+
+def _copies() -> Column:
+    return F.col("_whole") + F.when(F.col("_hash") < F.col("edge"), 1).otherwise(0)
+
+
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, max_repeats: int = MAX_REPEATS) -> tuple[DataFrame, DataFrame]:
+    """Every row's size and hash, and each source's size, target, whole repeats and hash bound."""
+    sized = durable(docs.select("doc_id", F.col("source").cast("string").alias("source"), _key().alias("_key"), F.size(words(F.col("text").cast("string"))).cast("long").alias("size"), row_hash().alias("_hash")))
     totals = sized.groupBy("source", "_key").agg(F.sum("size").alias("source_size"))
     planned = source_targets(totals, weights, share_percent, max_repeats)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
-    keyed = durable(planned.withColumn("_whole", whole).withColumn("_key", key))
+    keyed = durable(planned.withColumn("_whole", whole).withColumn("_key", _key()))
     edges = thresholds(sized.where(F.col("size") > 0).select("_key", "size", "_hash"), keyed.select("_key", (F.col("target") - F.col("_whole") * F.col("source_size")).alias("budget")))
-    bounds = durable(keyed.join(edges, "_key").select("_key", "source_size", "target", "_whole", "edge"))
-    copies = F.col("_whole") + F.when(F.col("_hash") < F.col("edge"), 1).otherwise(0)
-    return sized.join(bounds, "_key").select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return sized, durable(keyed.join(edges, "_key").select("_key", "source_size", "target", "_whole", "edge"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of every row; copies is how often the mix takes the row."""
+    sized, bounds = plan(docs, weights, share_percent, max_repeats)
+    return sized.join(bounds, "_key").select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"), (_copies() * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """The mix itself: each row as often as it is taken."""
+    _, bounds = plan(docs, weights, share_percent, max_repeats)
+    hashed = docs.withColumn("_key", _key()).withColumn("_hash", row_hash())
+    taken = hashed.join(bounds.select("_key", "_whole", "edge"), "_key").withColumn("_copies", _copies())
+    return taken.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
