@@ -24,14 +24,18 @@ SYMBOLS = r"[#*$%&|<>]"
 BOILERPLATE = r"cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|subscribe (now|to our)|sign up for|javascript|lorem ipsum|powered by|share this|read more|log in to|zur startseite|tous droits réservés|todos los derechos"
 SEPARATORS = r"[|»›•·>]"
 
-#: True for a line that fails; {l} is the line. The same text runs in Spark and DuckDB, with the word pattern and counters filled in.
+#: Characters without which neither symbols, nor shouting marks, nor separators need counting.
+ODD = r"[#*$%&|<>!?»›•·]"
+
+#: True for a line that fails. The same text runs in Spark and DuckDB, with the counters of either filled in.
 LINE_FAILS = """(
   {chars} > 0 AND (
-    {symbols} * 10 > {solid}
-    OR ({words} >= 3 AND {bangs} * 3 >= {words})
-    OR ({words} >= 4 AND {seps} >= 3 AND {seps} * 5 >= {words})
-    OR ({letters} >= 20 AND {capitals} * 10 > {letters} * 7)
-    OR ({words} >= 12 AND {stops} = 0)
+    ({odd} AND (
+      {symbols} * 10 > {solid}
+      OR ({words} >= 3 AND {bangs} * 3 >= {words})
+      OR ({words} >= 4 AND {seps} >= 3 AND {seps} * 5 >= {words})))
+    OR ({words} >= 12 AND {unstopped})
+    OR ({solid} >= 20 AND {capitals} * 10 > {solid} * 6)
     OR ({words} >= 10 AND {distinct_words} * 10 < {words} * 3)
     OR ({words} <= 40 AND {boiler})))"""
 
@@ -40,14 +44,15 @@ def _spark_count(line: str, pattern: str) -> str:
     return f"(length({line}) - length(regexp_replace({line}, r'{pattern}', '')))"
 
 
-def line_fails_sql(line: str) -> str:
-    """The rule in Spark SQL for a line expression."""
-    split = f"filter(split({line}, r'[\\x20\\x09-\\x0D]+'), w -> w <> '')"
-    return LINE_FAILS.format(
-        chars=f"length({line})", symbols=_spark_count(line, SYMBOLS), solid=_spark_count(line, r"[^\x20\x09-\x0D]"), words=f"size({split})", bangs=_spark_count(line, "[!?]"),
-        seps=_spark_count(line, SEPARATORS), letters=_spark_count(line, r"\p{L}"), capitals=_spark_count(line, r"\p{Lu}"), stops=_spark_count(line, r"[.!?:;…。]"),
-        distinct_words=f"size(array_distinct({split}))", boiler=f"lower({line}) rlike r'{BOILERPLATE}'",
+def good_lines_sql(lines: str) -> str:
+    """Spark SQL for the lines of an array that don't fail; each line is split into words once."""
+    line, words, trimmed = "x.l", "x.n", r"btrim(l, ' \u0009\u000A\u000B\u000C\u000D')"
+    fails = LINE_FAILS.format(
+        chars=f"length({line})", odd=f"{line} rlike r'{ODD}'", symbols=_spark_count(line, SYMBOLS), solid="x.s", words=words, bangs=_spark_count(line, "[!?]"), seps=_spark_count(line, SEPARATORS),
+        capitals=_spark_count(line, r"\p{Lu}"), unstopped=f"NOT {line} rlike r'[.!?:;…。]'", distinct_words="size(array_distinct(x.w))", boiler=f"lower({line}) rlike r'{BOILERPLATE}'",
     )
+    parts = rf"transform(transform({lines}, l -> struct(l AS l, split({trimmed}, r'[\x20\x09-\x0D]+') AS w)), y -> struct(y.l AS l, y.w AS w, IF(y.w[0] = '', 0, size(y.w)) AS n, length(regexp_replace(y.l, r'[\x20\x09-\x0D]+', '')) AS s))"
+    return f"filter({parts}, x -> NOT {fails}).l"
 
 
 def _repeat_words(rows: DataFrame) -> DataFrame:
@@ -68,7 +73,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """Every row's id, base counts, verdict and cleaned text: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lines_removed, kept_percent, clean_text."""
     whole = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     split = whole.select("doc_id", "_text", F.expr(r"regexp_extract_all(_text, r'([^\x20\x09-\x0D]+)', 1)").alias("_words"), F.split("_text", "\n").alias("_lines"))
-    lined = split.withColumn("_said", F.expr(r"filter(_lines, l -> l rlike r'[^\x20\x09-\x0D]')")).withColumn("_good", F.expr(f"filter(_lines, l -> NOT {line_fails_sql('l')})"))
+    lined = split.withColumn("_said", F.expr(r"filter(_lines, l -> l rlike r'[^\x20\x09-\x0D]')")).withColumn("_good", F.expr(good_lines_sql("_lines")))
     counted = _repeat_words(lined).select(
         "doc_id",
         F.size("_words").cast("long").alias("n_words"),
@@ -93,8 +98,8 @@ def _oracle() -> str:
     count = lambda pattern: f"(length(l) - length(regexp_replace(l, '{pattern}', '', 'g')))"
     found = r"regexp_extract_all(l, '[^\x20\x09-\x0D]+')"
     fails = LINE_FAILS.format(
-        chars="length(l)", symbols=count(SYMBOLS), solid=count(r"[^\x20\x09-\x0D]"), words=f"len({found})", bangs=count("[!?]"), seps=count(SEPARATORS), letters=count(r"\p{L}"), capitals=count(r"\p{Lu}"),
-        stops=count(r"[.!?:;…。]"), distinct_words=f"len(list_distinct({found}))", boiler=f"regexp_matches(lower(l), '{BOILERPLATE}')",
+        chars="length(l)", odd=f"regexp_matches(l, '{ODD}')", symbols=count(SYMBOLS), solid=count(r"[^\x20\x09-\x0D]"), words=f"len({found})", bangs=count("[!?]"), seps=count(SEPARATORS), capitals=count(r"\p{Lu}"),
+        unstopped="NOT regexp_matches(l, '[.!?:;…。]')", distinct_words=f"len(list_distinct({found}))", boiler=f"regexp_matches(lower(l), '{BOILERPLATE}')",
     )
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
