@@ -1,6 +1,427 @@
-"""Every registered query of the knowledge graph with its SQL twin."""
+"""Every registered query of the knowledge graph on the driver's tables, with its SQL twin."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrygraph.functions import scalars as S
+from quarrygraph.operators import diff as D
+from quarrygraph.operators import resolve as R
+from quarrygraph.operators import search as X
+from quarrygraph.operators import serve as Q
+from quarrygraph.streaming import reconcile as T
+
+from .binding import REPO, Bound
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+#: Shared table expressions of the SQL twins, in the order of their use of each other.
+CTES = {
+    "parts": "SELECT p_partkey, 'part.brand' || substr(p_brand, 7, 9) || '.p' || p_partkey AS path, p_size FROM part",
+    "nations": "SELECT n_nationkey, 'r' || n_regionkey || '.n' || n_nationkey AS path FROM nation",
+    "suppliers": "SELECT s_suppkey, path || '.s' || s_suppkey AS path FROM supplier JOIN nations ON n_nationkey = s_nationkey",
+    "rates": "SELECT l_partkey AS p_partkey, count(*) FILTER (l_returnflag = 'R') AS killed, count(*) FILTER (l_returnflag = 'A') AS survived, count(*) FILTER (l_returnflag = 'N') AS timeout, count(*) AS total, round(count(*) FILTER (l_returnflag = 'R') / count(*), 4) AS kill_rate FROM lineitem GROUP BY 1",
+    "paths": "SELECT 'r' || r_regionkey AS path, 'package' AS kind, NULL::INT AS size, NULL::BIGINT AS p_partkey FROM region UNION ALL SELECT path, 'package', NULL, NULL FROM nations UNION ALL SELECT path, 'module', NULL, NULL FROM suppliers UNION ALL SELECT DISTINCT 'part.brand' || substr(p_brand, 7, 9), 'package', NULL::INT, NULL::BIGINT FROM part UNION ALL SELECT 'part', 'package', NULL, NULL UNION ALL SELECT path, 'module', p_size, p_partkey FROM parts",
+    "components": "SELECT 'component/' || replace(path, '.', '-') AS slug, path, kind, p_partkey, CASE WHEN size = 13 THEN 'tests/test_p' || p_partkey || '.py' ELSE replace(path, '.', '/') || '.py' END AS file, kill_rate, CASE WHEN p_partkey IS NULL THEN 1 ELSE p_partkey % 5 + 3 END::INT AS last_run FROM paths LEFT JOIN rates USING (p_partkey)",
+    "tests": "SELECT 'test-coverage/tests-test-o' || o_orderkey || '-py-test-it' AS slug, (o_orderkey % 7 + 1)::INT AS last_run FROM orders",
+    "covers": "SELECT DISTINCT 'test-coverage/tests-test-o' || l_orderkey || '-py-test-it' AS test, 'component/' || replace(path, '.', '-') AS slug FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN parts ON p_partkey = l_partkey",
+    "imports": "SELECT DISTINCT s.path AS from_path, CASE l_linenumber WHEN 1 THEN substr(p.path, 6) WHEN 7 THEN 'lib.x' || (l_partkey % 10) ELSE p.path || '.v' || l_linenumber END AS name FROM lineitem JOIN parts p ON p_partkey = l_partkey JOIN suppliers s ON s_suppkey = l_suppkey",
+    "names": "SELECT DISTINCT name FROM imports",
+    "pieces": "SELECT name, n, array_to_string(list_slice(string_split(name, '.'), 1, n), '.') AS prefix FROM (SELECT name, unnest(range(1, len(string_split(name, '.')) + 1)) AS n FROM names)",
+    "by_prefix": "SELECT name, arg_max(path, n) AS path FROM pieces JOIN paths ON path = prefix GROUP BY name",
+    "ends": "SELECT path, array_to_string(list_slice(string_split(path, '.'), n, 99), '.') AS name FROM (SELECT path, unnest(range(2, len(string_split(path, '.')) + 1)) AS n FROM paths)",
+    "by_suffix": "SELECT name, min(path) AS path FROM names JOIN ends USING (name) WHERE name NOT IN (SELECT name FROM by_prefix) GROUP BY name HAVING count(*) = 1",
+    "resolved": "SELECT name, path, 'prefix' AS rule FROM by_prefix UNION ALL SELECT name, path, 'suffix' FROM by_suffix",
+    "depends": "SELECT DISTINCT 'component/' || replace(from_path, '.', '-') AS from_slug, 'component/' || replace(path, '.', '-') AS to_slug FROM imports JOIN resolved USING (name) WHERE from_path <> path",
+    "links": "SELECT DISTINCT 'implemented_by' AS relation_type, 'feature/' || trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS from_slug, 'component/part-brand' || substr(p_brand, 7, 9) AS to_slug FROM part UNION ALL SELECT DISTINCT 'governs', 'business-rule/' || lower(c_mktsegment), 'component/' || replace(path, '.', '-') FROM customer JOIN nations ON n_nationkey = c_nationkey UNION ALL SELECT DISTINCT 'affects', 'risk/' || event_type, 'component/r' || (user_id % 5) FROM events",
+    "contains": "SELECT coalesce(p.slug, 'project/trade') AS from_slug, c.slug AS to_slug FROM components c LEFT JOIN components p ON p.path = regexp_replace(c.path, '\\.[^.]*$', '') AND p.path <> c.path",
+    "bought": "SELECT o_custkey, l_partkey, min({'d': o_orderdate, 'o': l_orderkey, 'p': l_partkey}) AS first_at FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2",
+    "steps": "SELECT 'user-journey/c' || o_custkey AS journey, (k - 1)::INT AS pos, 'component/' || replace(path, '.', '-') AS step FROM (SELECT o_custkey, l_partkey, row_number() OVER (PARTITION BY o_custkey ORDER BY first_at) AS k FROM bought) JOIN parts ON p_partkey = l_partkey WHERE k <= 3",
+    "state": "SELECT c.slug, count(t.slug) AS n_tests, count(t.slug) > 0 AS covered, coalesce(max(t.last_run) < min(c.last_run), false) AS stale, min(c.kill_rate) AS mutation_kill_rate, count(t.slug) > 0 AND coalesce(min(c.kill_rate) <= 0.4, false) AS low_mutation_kill FROM components c LEFT JOIN covers v ON v.slug = c.slug LEFT JOIN tests t ON t.slug = v.test GROUP BY c.slug",
+    "needed": "SELECT DISTINCT journey, step AS slug FROM steps",
+    "size": "SELECT journey, count(*) AS n_components FROM needed GROUP BY 1",
+    "whole": "SELECT journey, count(*) AS n FROM (SELECT journey, test, count(*) AS met FROM needed JOIN covers USING (slug) GROUP BY 1, 2) JOIN size USING (journey) WHERE met = n_components GROUP BY 1",
+    "journeys": "SELECT journey, n_components, n IS NOT NULL AS covered_end_to_end, coalesce(n, 0) AS n_covering_tests FROM size LEFT JOIN whole USING (journey)",
+    "reached": "SELECT DISTINCT slug, target FROM (SELECT to_slug AS slug, from_slug AS target FROM depends UNION ALL SELECT to_slug, from_slug FROM links UNION ALL SELECT slug, slug FROM components)",
+    "targets": "SELECT r.slug, r.target, CASE WHEN NOT covered THEN 'gap' WHEN stale THEN 'stale' WHEN low_mutation_kill THEN 'low_kill' ELSE 'ok' END AS verdict FROM reached r JOIN state s ON s.slug = r.target JOIN components c ON c.slug = r.target WHERE NOT regexp_matches(c.file, '(^|/)test_[^/]*$')",
+    "runs": "SELECT DISTINCT datediff('day', DATE '2024-01-01', ts::DATE) + 1 AS run FROM events",
+    "deltas": "SELECT DISTINCT datediff('day', DATE '2024-01-01', ts::DATE) + 1 AS run, CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'removed' WHEN 'view' THEN 'moved' ELSE 'changed' END AS op, 'component/u' || user_id AS slug FROM events",
+    "routed": "SELECT page_id, url, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', '') AS path FROM pages",
+    "routes": "SELECT page_id, regexp_replace(path, '/[0-9]+', '/{id}', 'g') AS raw, regexp_replace(regexp_replace(path, '/[0-9]+', '/{id}', 'g'), '[{<][^}>]*[}>]', '{}', 'g') AS route FROM routed",
+    "units": "SELECT event_id, ts, CASE event_type WHEN 'purchase' THEN 'pr' ELSE 'commit' END AS kind, 'sha' || (event_id % 997) AS sha FROM events WHERE event_type IN ('purchase', 'click')",
+    "odd_day": "SELECT 'component/u' || user_id AS slug, count(*) AS n, CASE WHEN count(*) > 60 THEN 'big' ELSE 'small' END AS name, user_id % 4 AS anchor FROM events WHERE day(ts) % 2 = 1 AND event_type <> 'signup' AND user_id % 10 <> 3 GROUP BY user_id",
+    "even_day": "SELECT 'component/u' || user_id AS slug, count(*) AS n, CASE WHEN count(*) > 60 THEN 'big' ELSE 'small' END AS name, user_id % 4 + (user_id % 3 = 0)::INT AS anchor FROM events WHERE day(ts) % 2 = 0 AND event_type <> 'signup' AND user_id % 10 <> 7 GROUP BY user_id",
+}
+
+
+def _with(sql: str) -> str:
+    """The SQL with the shared expressions that it needs, in order."""
+    import re
+
+    wanted, grown = set(), True
+    text = sql
+    while grown:
+        found = {n for n in CTES if n not in wanted and re.search(rf"\b(FROM|JOIN)\s+{n}\b", text)}
+        wanted |= found
+        text += " ".join(CTES[n] for n in found)
+        grown = bool(found)
+    used = [f"{n} AS ({CTES[n]})" for n in CTES if n in wanted]
+    return ("WITH " + ",\n".join(used) + "\n" if used else "") + sql
+
+
+def query(sql: str | None = None):
+    """Registers a function of Bound under its name, with its SQL twin."""
+
+    def add(run):
+        QUERIES[run.__name__] = lambda spark, sf_dir: run(Bound(spark, sf_dir))
+        if sql:
+            ORACLES[run.__name__] = _with(sql)
+        return run
+
+    return add
+
+
+@query("SELECT slug, n_tests, covered, stale, mutation_kill_rate, low_mutation_kill FROM state")
+def coverage_for_all(b: Bound) -> DataFrame:
+    return Q.coverage(b.components, b.covers, b.tests).drop("repo_id", "tests")
+
+
+@query("SELECT regexp_replace(path, '\\.[^.]*$', '') AS parent, kind, count(*) AS n, min(slug) AS first_slug, list_sort(list(DISTINCT last_run))::VARCHAR AS runs FROM components GROUP BY 1, 2")
+def component_aggregate(b: Bound) -> DataFrame:
+    parent = F.regexp_replace("path", r"\.[^.]*$", "")
+    runs = F.array_sort(F.collect_set("last_run"))
+    return b.components.groupBy(parent.alias("parent"), "kind").agg(F.count(F.lit(1)).alias("n"), F.min("slug").alias("first_slug"), F.concat(F.lit("["), F.array_join(runs, ", "), F.lit("]")).alias("runs"))
+
+
+def _routes(b: Bound) -> DataFrame:
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/?#]*", ""), "[?#].*$", "")
+    return b.table("pages").select("page_id", F.regexp_replace(path, "/[0-9]+", "/{id}").alias("raw")).withColumn("route", S.normalize_route(F.col("raw")))
+
+
+@query("SELECT 'api/' || CASE WHEN s = '' THEN 'unnamed' ELSE s END AS slug, 'GET' AS method, route, n_pages, raw_routes FROM (SELECT route, count(*) AS n_pages, array_to_string(list_sort(list(DISTINCT raw)), '|') AS raw_routes, trim(regexp_replace(lower('GET ' || route), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM routes GROUP BY route)")
+def api_aggregate_routes(b: Bound) -> DataFrame:
+    grouped = _routes(b).groupBy("route").agg(F.count(F.lit(1)).alias("n_pages"), F.array_join(F.array_sort(F.collect_set("raw")), "|").alias("raw_routes"))
+    return grouped.select(S.entity_slug(F.lit("api"), F.concat(F.lit("GET "), F.col("route"))).alias("slug"), F.lit("GET").alias("method"), "route", "n_pages", "raw_routes")
+
+
+def _resolved(b: Bound) -> DataFrame:
+    known = b.paths.select(F.lit(REPO).alias("repo_id"), "path")
+    return R.resolve(b.imports.select("repo_id", "name"), known)
+
+
+@query("SELECT name, path FROM by_prefix")
+def resolve_internal_prefix(b: Bound) -> DataFrame:
+    return R.longest_prefix(b.imports.select("repo_id", "name").distinct(), b.paths.select(F.lit(REPO).alias("repo_id"), "path")).select("name", "path")
+
+
+@query("SELECT name, path FROM by_suffix")
+def resolve_internal_suffix(b: Bound) -> DataFrame:
+    return _resolved(b).where("rule = 'suffix'").select("name", "path")
+
+
+def _depends(b: Bound) -> DataFrame:
+    component = lambda path: S.entity_slug(F.lit("component"), path)
+    joined = b.imports.join(_resolved(b), ["repo_id", "name"]).where(F.col("from_path") != F.col("path"))
+    return joined.select("repo_id", F.lit("depends_on").alias("relation_type"), component(F.col("from_path")).alias("from_slug"), component(F.col("path")).alias("to_slug")).distinct()
+
+
+def _contains(b: Bound) -> DataFrame:
+    parents = b.components.select("repo_id", F.col("path").alias("parent"), F.col("slug").alias("parent_slug"))
+    child = b.components.withColumn("parent", F.when(F.col("path").contains("."), F.regexp_replace("path", r"\.[^.]*$", "")))
+    return child.join(parents, ["repo_id", "parent"], "left").select("repo_id", F.lit("contains").alias("relation_type"), F.coalesce("parent_slug", F.lit(f"project/{REPO}")).alias("from_slug"), F.col("slug").alias("to_slug"))
+
+
+def _edges(b: Bound) -> DataFrame:
+    return _depends(b).unionByName(_contains(b)).unionByName(b.covers).unionByName(b.links).distinct()
+
+
+@query("SELECT from_slug, to_slug FROM contains")
+def contains_edges(b: Bound) -> DataFrame:
+    return _contains(b).select("from_slug", "to_slug")
+
+
+@query("SELECT from_slug, to_slug FROM depends")
+def depends_on_edges(b: Bound) -> DataFrame:
+    return _depends(b).select("from_slug", "to_slug")
+
+
+@query("SELECT relation_type, count(*) AS n, count(DISTINCT from_slug) AS n_from, count(DISTINCT to_slug) AS n_to FROM (SELECT 'depends_on' AS relation_type, from_slug, to_slug FROM depends UNION ALL SELECT 'contains', from_slug, to_slug FROM contains UNION ALL SELECT 'covers', test, slug FROM covers UNION ALL SELECT relation_type, from_slug, to_slug FROM links) GROUP BY 1")
+def relationships_all(b: Bound) -> DataFrame:
+    return _edges(b).groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("from_slug").alias("n_from"), F.countDistinct("to_slug").alias("n_to"))
+
+
+@query("SELECT test, count(*) AS n_targets, min(slug) AS first_target, max(slug) AS last_target FROM covers GROUP BY test")
+def test_coverage_targets(b: Bound) -> DataFrame:
+    return b.covers.groupBy(F.col("from_slug").alias("test")).agg(F.count(F.lit(1)).alias("n_targets"), F.min("to_slug").alias("first_target"), F.max("to_slug").alias("last_target"))
+
+
+@query("SELECT p_partkey, killed, survived, timeout, total, kill_rate FROM rates")
+def mutation_kill_rate(b: Bound) -> DataFrame:
+    return b.kill_rates.select("p_partkey", "killed", "survived", "timeout", "total", "kill_rate")
+
+
+@query("SELECT journey, pos, step FROM steps")
+def user_journey_steps(b: Bound) -> DataFrame:
+    return b.steps.select("journey", "pos", "step")
+
+
+def _journeys(b: Bound) -> DataFrame:
+    alive = b.components.select("repo_id", "slug", F.lit("component").alias("entity_type"))
+    needed = Q.step_components(b.steps, b.links, alive)
+    return Q.journey_coverage(b.steps.select("repo_id", "journey").distinct(), needed, b.covers)
+
+
+@query("SELECT * FROM journeys")
+def journey_coverage_division(b: Bound) -> DataFrame:
+    return _journeys(b).drop("repo_id")
+
+
+@query("SELECT c.slug, coalesce(array_to_string(list_sort(list(from_slug) FILTER (relation_type = 'governs')), ','), '') AS business_rules, coalesce(array_to_string(list_sort(list(from_slug) FILTER (relation_type = 'implemented_by')), ','), '') AS features, coalesce(array_to_string(list_sort(list(from_slug) FILTER (relation_type = 'affects')), ','), '') AS risks FROM components c LEFT JOIN links ON to_slug = c.slug GROUP BY c.slug")
+def linked_context(b: Bound) -> DataFrame:
+    found = Q.linked_context(b.components, b.links)
+    return found.select("slug", *[F.array_join(c, ",").alias(c) for c in ("business_rules", "features", "risks")])
+
+
+def _impact_edges(b: Bound) -> DataFrame:
+    return _depends(b).unionByName(b.links)
+
+
+@query("SELECT slug, target, verdict FROM targets")
+def impact_plan(b: Bound) -> DataFrame:
+    covered = Q.coverage(b.components, b.covers, b.tests)
+    return Q.impact_targets(b.components, _impact_edges(b), b.components, covered).drop("repo_id")
+
+
+@query("SELECT slug, target_kind, count(*) AS n, count(DISTINCT component) AS n_components, min(target) AS first_target FROM (SELECT t.slug, 'symbols' AS target_kind, t.target AS component, c.path || '.run' AS target FROM targets t JOIN components c ON c.slug = t.target WHERE verdict = 'gap' UNION ALL SELECT t.slug, CASE verdict WHEN 'stale' THEN 'stale_retest' ELSE 'low_mutation_kill' END, t.target, v.test FROM targets t JOIN covers v ON v.slug = t.target WHERE verdict IN ('stale', 'low_kill') UNION ALL SELECT DISTINCT s.slug, 'journey', s.journey, NULL FROM (SELECT journey, step AS slug FROM steps UNION SELECT journey, journey FROM steps) s JOIN journeys j ON j.journey = s.journey WHERE NOT covered_end_to_end) GROUP BY 1, 2")
+def test_plan_summary(b: Bound) -> DataFrame:
+    covered = Q.coverage(b.components, b.covers, b.tests)
+    targets = Q.impact_targets(b.components, _impact_edges(b), b.components, covered)
+    symbols = b.components.select("repo_id", "slug", F.concat("path", F.lit(".run")).alias("symbol_path"), F.lit("function").alias("kind"))
+    plan = Q.test_plan(targets, covered, b.links, symbols, _journeys(b), b.steps)
+    return plan.groupBy("slug", "target_kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("component").alias("n_components"), F.min("target").alias("first_target"))
+
+
+@query("SELECT slug, direction, relation_type, other FROM (SELECT from_slug AS slug, 'out' AS direction, relation_type, to_slug AS other FROM links UNION ALL SELECT to_slug, 'in', relation_type, from_slug FROM links UNION ALL SELECT from_slug, 'out', 'contains', to_slug FROM contains UNION ALL SELECT to_slug, 'in', 'contains', from_slug FROM contains)")
+def entity_one_hop(b: Bound) -> DataFrame:
+    return Q.one_hop(b.links.unionByName(_contains(b))).drop("repo_id")
+
+
+@query("SELECT slug, path AS name FROM components ORDER BY slug LIMIT 200")
+def list_entities_top(b: Bound) -> DataFrame:
+    """The limit is the feature: a listing shows 200 entities unless told otherwise."""
+    return Q.list_entities(b.components.select("repo_id", "slug", F.lit("component").alias("entity_type"), F.col("path").alias("name")), "component")
+
+
+@query("SELECT run AS compile_run_id, count(slug) AS n_changes, min(slug) AS first_slug FROM (SELECT run FROM runs WHERE run % 7 <> 0 ORDER BY run DESC LIMIT 10) LEFT JOIN deltas USING (run) GROUP BY run")
+def recent_changes(b: Bound) -> DataFrame:
+    """The limit is the feature: the ten newest runs."""
+    return Q.recent_changes(b.runs, b.deltas).select("compile_run_id", "n_changes", F.col("changes")[0]["slug"].alias("first_slug"))
+
+
+@query("SELECT slug, run AS compile_run_id, CASE WHEN run % 3 = 0 THEN run + 100 END::INT AS pr_number, CASE WHEN run % 3 <> 0 THEN 'introduced outside of a pull request' END AS note FROM (SELECT slug, max(run) AS run FROM deltas WHERE op = 'added' GROUP BY slug)")
+def which_pr_introduced(b: Bound) -> DataFrame:
+    return Q.introduced_by(b.deltas, b.runs).select("slug", "compile_run_id", "pr_number", "note")
+
+
+def _entities(b: Bound) -> DataFrame:
+    tests = b.tests.select("slug", F.lit("test_coverage").alias("entity_type"))
+    linked = b.links.select(F.col("from_slug").alias("slug"), F.replace(F.element_at(F.split("from_slug", "/"), 1), F.lit("-"), F.lit("_")).alias("entity_type")).distinct()
+    return b.components.select("slug", F.lit("component").alias("entity_type")).unionByName(tests).unionByName(linked)
+
+
+@query("SELECT entity_type, count(*) AS n FROM (SELECT slug, 'component' AS entity_type FROM components UNION ALL SELECT slug, 'test_coverage' FROM tests UNION ALL SELECT DISTINCT from_slug, replace(split_part(from_slug, '/', 1), '-', '_') FROM links) GROUP BY 1")
+def knowledge_stats(b: Bound) -> DataFrame:
+    return Q.entity_counts(_entities(b))
+
+
+@query("SELECT run AS compile_run_id, op, count(*) AS n FROM deltas GROUP BY 1, 2")
+def inspect_ops(b: Bound) -> DataFrame:
+    return b.deltas.groupBy("compile_run_id", "op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT name AS coord, arg_min(repo_slug, position) AS repo_slug FROM pieces JOIN (VALUES (1, 'lib.x1', 'one'), (2, 'lib', 'libs'), (3, 'part.brand2', 'two'), (4, 'part', 'parts')) d(position, key, repo_slug) ON key = prefix GROUP BY name")
+def resolve_dependency(b: Bound) -> DataFrame:
+    declared = b.spark.createDataFrame([(1, "lib.x1", "one"), (2, "lib", "libs"), (3, "part.brand2", "two"), (4, "part", "parts")], "position int, key string, repo_slug string")
+    return Q.resolve_dependency(b.imports.select(F.col("name").alias("coord")).distinct(), declared)
+
+
+def _day_state(b: Bound, odd: bool) -> DataFrame:
+    """Users as entities of the odd or the even days: two states to compare."""
+    day, user = F.dayofmonth("ts"), F.col("user_id")
+    rows = b.table("events").where((day % 2 == int(odd)) & (F.col("event_type") != "signup") & (user % 10 != (3 if odd else 7)))
+    n = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    anchor = user % 4 if odd else user % 4 + F.when(user % 3 == 0, 1).otherwise(0)
+    path = F.concat(F.lit("f"), anchor.cast("string"))
+    spot = F.struct(path.alias("file_path"), F.lit(None).cast("string").alias("symbol_path"), F.lit(None).cast("struct<lo:int,hi:int>").alias("span"))
+    hashed = F.when(user % 2 == 0, F.col("n")).otherwise(F.lit(0))
+    return n.select(F.lit(REPO).alias("repo_id"), F.concat(F.lit("component/u"), user.cast("string")).alias("slug"), F.lit("component").alias("entity_type"), F.when(F.col("n") > 60, "big").otherwise("small").alias("name"), F.to_json(F.struct(hashed.alias("n"))).alias("payload"), hashed.cast("string").alias("content_hash"), F.array(spot).alias("anchors"), F.lit(None).cast("string").alias("owner_slug"), F.array(path).alias("files"))
+
+
+_CHANGED = "SELECT slug, op FROM (SELECT coalesce(e.slug, o.slug) AS slug, CASE WHEN o.slug IS NULL THEN 'added' WHEN e.slug IS NULL THEN CASE WHEN o.anchor IN (0, 1, 2) THEN 'removed' END WHEN e.name <> o.name OR (substr(e.slug, 12)::INT % 2 = 0 AND e.n <> o.n) THEN 'changed' WHEN e.anchor <> o.anchor THEN 'moved' END AS op FROM odd_day o FULL JOIN even_day e USING (slug)) WHERE op IS NOT NULL"
+_SLICE = D.Scope(full=False, in_scope_files=("f0", "f1", "f2"))
+
+
+@query(_CHANGED)
+def entity_diff(b: Bound) -> DataFrame:
+    cand, cur = _day_state(b, False), _day_state(b, True)
+    gone = D.unobserved(cand, cur, _SLICE).where("removed").select("slug", F.lit("removed").alias("op"))
+    return D.entity_changes(cand, cur).select("slug", "op").unionByName(gone)
+
+
+def _day_edges(b: Bound, odd: bool) -> DataFrame:
+    pairs = b.table("events").where((F.dayofmonth("ts") % 2 == int(odd)) & (F.col("event_type") == "purchase")).select((F.col("event_id") % 40).alias("x"), (F.col("user_id") % 37).alias("y")).distinct()
+    name = lambda c: F.concat(F.lit("component/u"), F.col(c).cast("string"))
+    return pairs.select(F.lit(REPO).alias("repo_id"), F.lit("depends_on").alias("relation_type"), name("x").alias("from_slug"), name("y").alias("to_slug"))
+
+
+_EDGE_SQL = "SELECT DISTINCT 'component/u' || (event_id % 40) AS from_slug, 'component/u' || (user_id % 37) AS to_slug FROM events WHERE day(ts) % 2 = {} AND event_type = 'purchase'"
+_FATE_SQL = "SELECT slug, anchor IN (0, 1, 2) AS removed FROM odd_day WHERE slug NOT IN (SELECT slug FROM even_day)"
+_EDGE_DIFF = f"SELECT from_slug, to_slug, op FROM (WITH o AS ({_EDGE_SQL.format(1)}), e AS ({_EDGE_SQL.format(0)}), f AS ({_FATE_SQL}) SELECT from_slug, to_slug, 'removed' AS op FROM o WHERE ((from_slug, to_slug) NOT IN (SELECT (from_slug, to_slug) FROM e) AND from_slug NOT IN (SELECT slug FROM f WHERE NOT removed)) OR from_slug IN (SELECT slug FROM f WHERE removed) OR to_slug IN (SELECT slug FROM f WHERE removed) UNION ALL SELECT from_slug, to_slug, 'added' FROM e WHERE (from_slug, to_slug) NOT IN (SELECT (from_slug, to_slug) FROM o) AND from_slug NOT IN (SELECT slug FROM f WHERE removed) AND to_slug NOT IN (SELECT slug FROM f WHERE removed))"
+
+
+@query(_EDGE_DIFF)
+def edge_diff(b: Bound) -> DataFrame:
+    cand, cur = _day_state(b, False), _day_state(b, True)
+    return D.edge_changes(_day_edges(b, False), _day_edges(b, True), D.unobserved(cand, cur, _SLICE)).select("from_slug", "to_slug", "op")
+
+
+@query(f"SELECT DISTINCT slug FROM (SELECT slug FROM ({_CHANGED}) WHERE op <> 'removed' UNION ALL SELECT from_slug FROM ({_EDGE_DIFF}) UNION ALL SELECT to_slug FROM ({_EDGE_DIFF})) WHERE slug IN (SELECT slug FROM even_day)")
+def dirty_set(b: Bound) -> DataFrame:
+    cand, cur = _day_state(b, False), _day_state(b, True)
+    _, _, slugs = D.compute(cand, _day_edges(b, False), cur, _day_edges(b, True), _SLICE)
+    return slugs.select("slug")
+
+
+@query("SELECT 'wiki-page/' || replace(slug, '/', '-') AS slug, removed FROM (" + _FATE_SQL + ")")
+def wiki_page_fate(b: Bound) -> DataFrame:
+    cand, cur = _day_state(b, False), _day_state(b, True)
+    page = cur.select("repo_id", S.entity_slug(F.lit("wiki_page"), F.col("slug")).alias("slug"), F.lit("wiki_page").alias("entity_type"), "name", "payload", "content_hash", "anchors", F.col("slug").alias("owner_slug"), "files")
+    owned = page.join(cand.select("repo_id", F.col("slug").alias("owner_slug")), ["repo_id", "owner_slug"], "left_anti")
+    return D.unobserved(cand, cur.unionByName(owned), _SLICE).where("entity_type = 'wiki_page'").select("slug", "removed")
+
+
+@query("SELECT slug, first_run, last_run FROM (SELECT o.slug, 1 AS first_run, CASE WHEN c.op IS NULL THEN 1 ELSE 2 END AS last_run FROM odd_day o LEFT JOIN (" + _CHANGED + ") c ON c.slug = o.slug WHERE c.op IS DISTINCT FROM 'removed' UNION ALL SELECT slug, 2, 2 FROM (" + _CHANGED + ") WHERE op = 'added')")
+def upsert_snapshot(b: Bound) -> DataFrame:
+    cand, cur = _day_state(b, False), _day_state(b, True).withColumn("first_run", F.lit(1)).withColumn("last_run", F.lit(1))
+    changes, _, _ = D.compute(cand, _day_edges(b, False), cur, _day_edges(b, True), _SLICE)
+    return D.upsert(cur, cand, changes, 2).select("slug", "first_run", "last_run")
+
+
+def _units(b: Bound) -> DataFrame:
+    events = b.table("events").where(F.col("event_type").isin("purchase", "click"))
+    return events.select(F.lit(REPO).alias("repo_id"), F.when(F.col("event_type") == "purchase", "pr").otherwise("commit").alias("kind"), F.col("event_id").cast("string").alias("key"), "ts", F.concat(F.lit("sha"), (F.col("event_id") % 997).cast("string")).alias("sha"))
+
+
+@query("SELECT max(ts) AS watermark FROM units WHERE event_id % 5 = 0 AND kind = 'pr'")
+def unified_watermark(b: Bound) -> DataFrame:
+    done = _units(b).where((F.col("key").cast("long") % 5 == 0) & (F.col("kind") == "pr"))
+    ledger = done.select("repo_id", F.lit("succeeded").alias("status"), F.lit(None).cast("timestamp").alias("commit_timestamp"), F.col("ts").alias("merged_at"))
+    return T.watermark(ledger).select("watermark")
+
+
+@query("SELECT event_id::VARCHAR AS key, kind, ts FROM units WHERE ts > TIMESTAMP '2024-01-10 00:00:00' AND (kind = 'pr' OR sha NOT IN (SELECT sha FROM units WHERE kind = 'pr' AND ts > TIMESTAMP '2024-01-10 00:00:00'))")
+def merged_change_stream(b: Bound) -> DataFrame:
+    units, since = _units(b), F.to_timestamp(F.lit("2024-01-10 00:00:00"))
+    return T.merge_streams(units.where("kind = 'pr'"), units.where("kind = 'commit'"), since).select("key", "kind", "ts")
+
+
+@query("SELECT text_hash, n, first_doc FROM (SELECT sha256(text) AS text_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1)")
+def content_hash_dedup(b: Bound) -> DataFrame:
+    return b.table("documents").where("text IS NOT NULL").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("text_hash")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query("SELECT a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS similarity FROM (SELECT p.name AS a, q.name AS b, string_split(p.name, ' ') AS x, string_split(q.name, ' ') AS y FROM (SELECT DISTINCT p_name AS name FROM part) p JOIN (SELECT DISTINCT p_name AS name FROM part) q ON p.name < q.name) WHERE len(list_intersect(x, y)) > 0")
+def name_similarity_pairs(b: Bound) -> DataFrame:
+    """Names that share a token, found by an equi-join on tokens."""
+    names = b.table("part").select("p_name").distinct()
+    by_token = names.select("p_name", F.explode(S.tokens(F.col("p_name"))).alias("token"))
+    pairs = by_token.select("token", F.col("p_name").alias("a")).join(by_token.select("token", F.col("p_name").alias("b")), "token").where("a < b").select("a", "b").distinct()
+    return pairs.withColumn("similarity", F.round(S.name_similarity(F.col("a"), F.col("b")), 6))
+
+
+@query("SELECT a.journey AS a, b.journey AS b, round(count(*) / any_value(n.n_components), 4) AS overlap FROM needed a JOIN needed b ON a.slug = b.slug AND a.journey <> b.journey JOIN size n ON n.journey = a.journey GROUP BY 1, 2 HAVING count(*) >= 2")
+def anchor_overlap_pairs(b: Bound) -> DataFrame:
+    """Journeys that share two steps or more: overlap relative to the first one, over file anchors."""
+    spot = F.struct(F.col("step").alias("file_path"), F.lit(None).cast("string").alias("symbol_path"), F.lit(None).cast("struct<lo:int,hi:int>").alias("span"))
+    anchors = b.steps.groupBy("journey").agg(F.collect_list(spot).alias("anchors"))
+    left = b.steps.select("step", F.col("journey").alias("a"))
+    pairs = left.join(b.steps.select("step", F.col("journey").alias("b")), "step").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    joined = pairs.join(anchors.select(F.col("journey").alias("a"), F.col("anchors").alias("x")), "a").join(anchors.select(F.col("journey").alias("b"), F.col("anchors").alias("y")), "b")
+    return joined.select("a", "b", F.round(S.anchor_overlap(F.col("x"), F.col("y")), 4).alias("overlap"))
+
+
+@query("SELECT doc_id, count(*) FILTER (t = 'licensed') AS n_a, count(*) FILTER (t = 'license') AS n_b FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents) GROUP BY doc_id HAVING (count(*) FILTER (t = 'licensed') > 0 OR count(*) FILTER (t = 'license') > 0) AND count(*) FILTER (t = 'apache') = 0")
+def keyword_search(b: Bound) -> DataFrame:
+    """licensed or license, without apache: the boolean match and the counts behind the score."""
+    found = X.match(b.table("documents").select(F.col("doc_id").alias("key"), F.col("text").alias("body")), "licensed or license -apache")
+    return found.select(F.col("key").alias("doc_id"), F.coalesce(F.col("counts")["licensed"], F.lit(0)).cast("long").alias("n_a"), F.coalesce(F.col("counts")["license"], F.lit(0)).cast("long").alias("n_b"))
+
+
+_COSINE = "round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 6)"
+
+
+@query(f"SELECT vec_id, {_COSINE} AS score FROM embeddings WHERE vec_id <> 7 ORDER BY score DESC, vec_id LIMIT 20")
+def semantic_knn(b: Bound) -> DataFrame:
+    """The limit is the feature: the twenty nearest of one vector, by an exact scan."""
+    vectors = b.table("embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    return X.nearest(vectors.where("key <> 7"), vectors.where("key = 7").select("vector"), 20).select(F.col("key").alias("vec_id"), "score")
+
+
+@query(f"SELECT key, round(sum(1.0 / (60 + k)), 8) AS score FROM (SELECT vec_id AS key, row_number() OVER (ORDER BY {_COSINE} DESC, vec_id) AS k FROM embeddings WHERE vec_id <> 7 QUALIFY k <= 20 UNION ALL SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM documents WHERE contains(lower(text), 'licensed') QUALIFY k <= 20) GROUP BY key ORDER BY score DESC, key LIMIT 10")
+def hybrid_rrf(b: Bound) -> DataFrame:
+    """The limits are the feature: reciprocal rank fusion of two top-20 lists, top 10 out."""
+    vectors = b.table("embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    near = X.nearest(vectors.where("key <> 7"), vectors.where("key = 7").select("vector"), 20)
+    words = b.table("documents").where(F.lower("text").contains("licensed")).select(F.col("doc_id").alias("key"), F.col("n_chars").cast("double").alias("score")).orderBy(F.col("score").desc(), "key").limit(20)
+    return X.fuse([words, near], 10)
+
+
+@query("SELECT vec_id FROM embeddings WHERE NOT (vec_id % 3 = 0 AND vec_id % 2 = 0) OR vec_id % 5 = 0")
+def embedding_backfill_todo(b: Bound) -> DataFrame:
+    """Vectors as entities: those that are dirty, pending, missing or of another text are to embed."""
+    rows = b.table("embeddings").select(F.lit(REPO).alias("repo_id"), F.col("vec_id").cast("string").alias("slug"), F.lit("h").alias("text_hash"), "vec_id")
+    stored = rows.where("vec_id % 3 = 0").select("repo_id", "slug", F.lit("m").alias("model_id"), F.when(F.col("vec_id") % 2 == 0, "current").otherwise("pending").alias("status"), F.when(F.col("vec_id") % 5 == 0, "old").otherwise("h").alias("content_hash"))
+    return X.backfill_todo(rows, stored, "m").select(F.col("slug").cast("long").alias("vec_id"))
+
+
+@query("SELECT page_id, len(found) AS n_links, array_to_string(list_sort(list_distinct(found)), '|') AS links FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS found FROM pages)")
+def page_link_facts(b: Bound) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    return b.table("pages").select("page_id", F.size(found).cast("long").alias("n_links"), F.array_join(F.array_sort(F.array_distinct(found)), "|").alias("links"))
+
+
+@query("SELECT o_orderkey, array_to_string(list_sort(list_distinct(regexp_extract_all('PR ' || o_orderpriority || ' KC-' || (o_orderkey % 50) || ' and AB2-' || (o_orderkey % 7) || ' KC-' || (o_orderkey % 50), '\\b[A-Z][A-Z0-9]+-[0-9]+\\b'))), ',') AS keys FROM orders")
+def pull_request_issue_keys(b: Bound) -> DataFrame:
+    n = F.col("o_orderkey")
+    text = F.concat(F.lit("PR "), F.col("o_orderpriority"), F.lit(" KC-"), (n % 50).cast("string"), F.lit(" and AB2-"), (n % 7).cast("string"), F.lit(" KC-"), (n % 50).cast("string"))
+    return b.table("orders").select("o_orderkey", F.array_join(S.issue_keys(text), ",").alias("keys"))
+
+
+@query("SELECT event_type AS rule, count(*) AS n, round(avg(value), 6) AS mean_signal FROM events GROUP BY 1")
+def verify_evidence_histogram(b: Bound) -> DataFrame:
+    return b.table("events").groupBy(F.col("event_type").alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_signal"))
+
+
+@query("SELECT c_custkey, n_claimed, n_citable, n_met, CASE WHEN n_claimed = 0 THEN 0.0 ELSE round((n_met / n_claimed + n_met / n_citable) / 2 * 100, 1) END AS score FROM (SELECT o_custkey AS c_custkey, count(DISTINCT l_partkey) FILTER (l_linenumber <= 3) AS n_claimed, count(DISTINCT l_partkey) FILTER (l_linenumber >= 2) AS n_citable, count(DISTINCT CASE WHEN l_linenumber BETWEEN 2 AND 3 THEN l_partkey END) AS n_met FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = o_custkey % 10 GROUP BY 1) WHERE n_citable > 0")
+def header_score_sets(b: Bound) -> DataFrame:
+    """Precision and recall of claims against citable targets, as sets of each customer's parts (claims in lines 1-3, citable from line 2, met in both)."""
+    rows = b.table("lineitem").join(b.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").where(F.col("l_orderkey") % 10 == F.col("o_custkey") % 10)
+    n, part = F.col("l_linenumber"), F.col("l_partkey")
+    sets = rows.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.countDistinct(F.when(n <= 3, part)).alias("n_claimed"), F.countDistinct(F.when(n >= 2, part)).alias("n_citable"), F.countDistinct(F.when(n.between(2, 3), part)).alias("n_met")).where("n_citable > 0")
+    score = F.when(F.col("n_claimed") == 0, F.lit(0.0)).otherwise(F.round((F.col("n_met") / F.col("n_claimed") + F.col("n_met") / F.col("n_citable")) / 2 * 100, 1))
+    return sets.withColumn("score", score)
+
+
+@query(None)
+def cascade_match_or_mint(b: Bound) -> DataFrame:
+    """Part names as candidates of three types, resolved against half of them; no SQL twin, tests compare with a sequential model."""
+    from quarrygraph.operators import cascade as C
+
+    rows = b.table("part").select("p_partkey", "p_name", "p_brand", "p_type")
+    kind = F.element_at(F.array(F.lit("feature"), F.lit("business_rule"), F.lit("risk")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    spot = F.array(F.struct(F.concat(F.lit("f"), (F.col("p_partkey") % 400).cast("string")).alias("file_path"), F.lit(None).cast("string").alias("symbol_path")))
+    facts = rows.select(F.lit(REPO).alias("repo_id"), kind.alias("entity_type"), F.col("p_name").alias("name"), F.to_json(F.struct(F.col("p_name").alias("name"), F.array("p_brand").alias("related_components"))).alias("payload"), F.sha2(F.col("p_partkey").cast("string"), 256).alias("content_hash"), spot.alias("anchors"))
+    current = facts.where("crc32(content_hash) % 2 = 0").withColumn("slug", F.concat(F.replace("entity_type", F.lit("_"), F.lit("-")), F.lit("/"), F.substring("content_hash", 1, 12)))
+    return C.match_or_mint(facts, current).select("slug", "entity_type", "name", "rule", F.size("anchors").alias("n_anchors"))
