@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from .common import partitions, read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 32 << 20
 _PARCEL_TOKENS = 200_000
+_LEVEL = 9
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
 #: Packed rows: target deals them out, kind is 0 for pre-tokens and 1 for texts, block and part name their place.
 _PACKED = "target long, kind int, block long, part long, head binary, body binary"
@@ -74,7 +75,7 @@ def token_bytes(vocabulary: str) -> list[bytes]:
 
 def _pack(parts: list[bytes]) -> bytes:
     sizes = np.array([len(p) for p in parts], "<u4").tobytes()
-    return zstandard.compress(np.array([len(parts)], "<u4").tobytes() + sizes + b"".join(parts), 3)
+    return zstandard.compress(np.array([len(parts)], "<u4").tobytes() + sizes + b"".join(parts), _LEVEL)
 
 
 def _unpack(data: bytes) -> list[bytes]:
@@ -122,39 +123,40 @@ class _Numbers(dict):
 
 def _splitter(buckets: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, count, numbers, size = TaskContext.get().partitionId(), 0, _Numbers(), 0
+        task, count, size, numbers = TaskContext.get().partitionId(), 0, 0, _Numbers()
         ids: list[int | None] = []
         seqs: list[np.ndarray] = []
-        held, part = 0, 0
-
-        def parcel() -> Iterator[pa.RecordBatch]:
-            nonlocal held, part
-            if ids:
-                block = task << 32 | count
-                keys = np.array([0 if i is None else i for i in ids], "<i8").tobytes()
-                head = _pack([keys, bytes(i is None for i in ids), np.array([len(s) for s in seqs], "<u4").tobytes()])
-                yield _batch([(block, 1, block, part, head, zstandard.compress(_varints(np.concatenate(seqs)), 3))])
-                part += 1
-                held = 0
-                ids.clear()
-                seqs.clear()
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal count, size, part
-            yield from parcel()
-            if numbers:
-                block = task << 32 | count
-                dealt: dict[int, tuple[list[int], list[bytes]]] = {}
-                for word, k in numbers.items():
-                    raw = word.encode("utf-8", "surrogatepass")
-                    at = dealt.setdefault(xxhash.xxh64_intdigest(raw) % buckets, ([], []))
-                    at[0].append(k)
-                    at[1].append(raw)
-                for bucket, (places, words) in dealt.items():
-                    steps = np.diff(np.array(places, np.uint32), prepend=np.uint32(0))
-                    yield _batch([(bucket, 0, block, bucket, zstandard.compress(_varints(steps.astype(np.uint32)), 3), _pack(words))])
-                numbers.clear()
-            count, size, part = count + 1, 0, 0
+            """The rows of a block; its pre-tokens are numbered anew, the frequent ones first, which makes short sequences."""
+            nonlocal count, size
+            block, sizes = task << 32 | count, np.array([len(q) for q in seqs], np.int64)
+            whole = np.concatenate(seqs) if seqs else np.empty(0, np.uint32)
+            order = np.argsort(-np.bincount(whole, minlength=len(numbers)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            whole = rank[whole]
+            ends = np.cumsum(sizes)
+            cuts = np.flatnonzero(np.diff((ends + 16 * np.arange(len(ends))) // _PARCEL_TOKENS)) + 1
+            for part, (i, j) in enumerate(zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)])):
+                if i < j:
+                    keys = np.array([0 if k is None else k for k in ids[i:j]], "<i8").tobytes()
+                    head = _pack([keys, bytes(k is None for k in ids[i:j]), sizes[i:j].astype("<u4").tobytes()])
+                    yield _batch([(block, 1, block, part, head, zstandard.compress(_varints(whole[ends[i] - sizes[i] : ends[j - 1]]), _LEVEL))])
+            words = list(numbers)
+            dealt: dict[int, tuple[list[int], list[bytes]]] = {}
+            for place, k in enumerate(order.tolist()):
+                raw = words[k].encode("utf-8", "surrogatepass")
+                at = dealt.setdefault(xxhash.xxh64_intdigest(raw) % buckets, ([], []))
+                at[0].append(place)
+                at[1].append(raw)
+            for bucket, (places, some) in dealt.items():
+                steps = np.diff(np.array(places, np.uint32), prepend=np.uint32(0)).astype(np.uint32)
+                yield _batch([(bucket, 0, block, bucket, zstandard.compress(_varints(steps), _LEVEL), _pack(some))])
+            numbers.clear()
+            ids.clear()
+            seqs.clear()
+            count, size = count + 1, 0
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -162,13 +164,11 @@ def _splitter(buckets: int, block_bytes: int):
                 found = split(said)
                 ids.append(doc_id)
                 seqs.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
-                held += len(found) + 16
-                size += len(said)
-                if held > _PARCEL_TOKENS:
-                    yield from parcel()
+                size += len(said) + 64
                 if size > block_bytes:
                     yield from close()
-        yield from close()
+        if ids:
+            yield from close()
 
     return run
 
@@ -179,7 +179,8 @@ def _bucket_encoder(vocabulary: str):
         known: dict[bytes, bytes] = {}
         bucket = None
         for batch in batches:
-            for target, kind, block, part, head, body in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in range(len(batch)):
+                _, kind, block, part, head, body = (c[row].as_py() for c in batch.columns)
                 if kind == 0:
                     if bucket != part:
                         known, bucket = {}, part
@@ -195,33 +196,40 @@ def _bucket_encoder(vocabulary: str):
     return run
 
 
-def _assembler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block, places, coded, words = None, [], [], None
-    for batch in batches:
-        for _, kind, own, _, head, body in zip(*(c.to_pylist() for c in batch.columns)):
-            if own != block:
-                block, places, coded, words = own, [], [], None
-            if kind == 0:
-                places.append(np.cumsum(_unvarints(zstandard.decompress(head))))
-                coded += _unpack(body)
-                continue
-            if words is None:  # all pre-tokens of a block come before its texts
-                order = np.argsort(np.concatenate(places)) if places else []
-                words = [coded[k] for k in order]
-                places, coded = [], []
-            keys, nulls, sizes = _unpack(head)
-            seq = _unvarints(zstandard.decompress(body)).tolist()
-            ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
-            ids = [None if gone else k for k, gone in zip(np.frombuffer(keys, "<i8").tolist(), nulls)]
-            for at in range(0, len(ids), 64):
-                lists = [b"".join(map(words.__getitem__, seq[a:b])) for a, b in zip([0, *ends][at : at + 64], ends[at : at + 64])]
-                offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in lists]))).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(lists), "<i4")))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 64], pa.int64()), values], names=["doc_id", "ids"])
+def _assembler(finish):
+    """Puts texts together from their blocks' pre-tokens; finish makes a batch of doc_ids and their ids (little-endian unsigned 32-bit)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, places, coded, words = None, [], [], None
+        for batch in batches:
+            for row in range(len(batch)):
+                _, kind, own, _, head, body = (c[row].as_py() for c in batch.columns)
+                if own != block:
+                    block, places, coded, words = own, [], [], None
+                if kind == 0:
+                    places.append(np.cumsum(_unvarints(zstandard.decompress(head))))
+                    coded += _unpack(body)
+                    continue
+                if words is None:  # all pre-tokens of a block come before its texts
+                    words = [coded[k] for k in np.argsort(np.concatenate(places))] if places else []
+                    places, coded = [], []
+                keys, nulls, sizes = _unpack(head)
+                seq = _unvarints(zstandard.decompress(body)).tolist()
+                ends = np.cumsum(np.frombuffer(sizes, "<u4")).tolist()
+                ids = [None if gone else k for k, gone in zip(np.frombuffer(keys, "<i8").tolist(), nulls)]
+                for at in range(0, len(ids), 64):
+                    yield finish(ids[at : at + 64], [b"".join(map(words.__getitem__, seq[a:b])) for a, b in zip([0, *ends][at : at + 64], ends[at : at + 64])])
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, ids) of every row."""
+    return run
+
+
+def _id_lists(doc_ids: list[int | None], coded: list[bytes]) -> pa.RecordBatch:
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded]))).astype(np.int32)
+    values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), values], names=["doc_id", "ids"])
+
+
+def _encoded(docs: DataFrame, vocabulary: str, block_bytes: int, finish, schema: str) -> DataFrame:
     dealt = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = rows.mapInArrow(_splitter(4 * dealt, block_bytes), _PACKED)
@@ -229,14 +237,19 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLO
     by_word = packed.repartition(dealt, F.when(F.col("kind") == 0, F.col("part")).otherwise(F.xxhash64("block", "part"))).sortWithinPartitions("kind", "part", "block")
     coded = by_word.mapInArrow(_bucket_encoder(vocabulary), _PACKED)
     by_block = coded.repartition(dealt, "block").sortWithinPartitions("block", "kind", "part")
-    return by_block.mapInArrow(_assembler, "doc_id long, ids array<int>")
+    return by_block.mapInArrow(_assembler(finish), schema)
+
+
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, ids) of every row."""
+    return _encoded(docs, vocabulary, block_bytes, _id_lists, "doc_id long, ids array<int>")
 
 
 def _decoder(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(vocabulary)
         for batch in batches:
-            texts = [None if ids is None else b"".join(map(table.__getitem__, ids)) for ids in batch.column(1).to_pylist()]
+            texts = [None if not ids.is_valid else b"".join(map(table.__getitem__, ids.as_py())) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "raw"])
 
     return run
@@ -248,23 +261,30 @@ def decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def _digester(vocabulary: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, said = token_bytes(vocabulary), [str(k) for k in range(len(token_bytes(vocabulary)))]
-        for batch in batches:
-            counts, ids_sha, raw_sha = [], [], []
-            for ids in batch.column(1).to_pylist():
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(map(said.__getitem__, ids)).encode()).hexdigest())
-                raw_sha.append(hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    """Digests of ids and of the bytes that they decode to, made where the ids are put together."""
 
-    return run
+    def finish(doc_ids: list[int | None], coded: list[bytes]) -> pa.RecordBatch:
+        table, said = token_bytes(vocabulary), _decimals(vocabulary)
+        counts, ids_sha, raw_sha = [], [], []
+        for ids in coded:
+            values = np.frombuffer(ids, "<u4").tolist()
+            counts.append(len(values))
+            ids_sha.append(hashlib.sha256(b" ".join(map(said.__getitem__, values))).hexdigest())
+            raw_sha.append(hashlib.sha256(b"".join(map(table.__getitem__, values))).hexdigest())
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return finish
+
+
+@lru_cache(maxsize=2)
+def _decimals(vocabulary: str) -> list[bytes]:
+    return [str(k).encode() for k in range(len(token_bytes(vocabulary)))]
 
 
-def digests(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the ids and, decoded from them, the bytes."""
-    return coded.select("doc_id", "ids").mapInArrow(_digester(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of every row's ids and, decoded from them, of its bytes."""
+    return _encoded(docs, vocabulary, block_bytes, _digester(vocabulary), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(read(spark, sf_dir, "documents")))
+    return digests(read(spark, sf_dir, "documents"))
