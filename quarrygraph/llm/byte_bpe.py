@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read
+from .common import partitions, read, small_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK_BYTES = 32 << 20
@@ -144,15 +144,13 @@ def _splitter(buckets: int, block_bytes: int):
                     head = _pack([keys, bytes(k is None for k in ids[i:j]), sizes[i:j].astype("<u4").tobytes()])
                     yield _batch([(block, 1, block, part, head, zstandard.compress(_varints(whole[ends[i] - sizes[i] : ends[j - 1]]), _LEVEL))])
             words = list(numbers)
-            dealt: dict[int, tuple[list[int], list[bytes]]] = {}
-            for place, k in enumerate(order.tolist()):
-                raw = words[k].encode("utf-8", "surrogatepass")
-                at = dealt.setdefault(xxhash.xxh64_intdigest(raw) % buckets, ([], []))
-                at[0].append(place)
-                at[1].append(raw)
-            for bucket, (places, some) in dealt.items():
-                steps = np.diff(np.array(places, np.uint32), prepend=np.uint32(0)).astype(np.uint32)
-                yield _batch([(bucket, 0, block, bucket, zstandard.compress(_varints(steps), _LEVEL), _pack(some))])
+            bucket = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int64, len(words))
+            by_bucket = np.lexsort((rank, bucket))
+            edges = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1, append=-1))
+            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                some = by_bucket[i:j]
+                steps = np.diff(rank[some], prepend=np.uint32(0)).astype(np.uint32)
+                yield _batch([(int(bucket[some[0]]), 0, block, int(bucket[some[0]]), zstandard.compress(_varints(steps), _LEVEL), _pack([words[k].encode("utf-8", "surrogatepass") for k in some.tolist()]))])
             numbers.clear()
             ids.clear()
             seqs.clear()
@@ -230,6 +228,7 @@ def _id_lists(doc_ids: list[int | None], coded: list[bytes]) -> pa.RecordBatch:
 
 
 def _encoded(docs: DataFrame, vocabulary: str, block_bytes: int, finish, schema: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     dealt = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = rows.mapInArrow(_splitter(4 * dealt, block_bytes), _PACKED)

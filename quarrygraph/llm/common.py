@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but the six ASCII white-space characters (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 
+BATCH_ROWS = 1000
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,6 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows here hold whole texts or sets: no more than BATCH_ROWS of them go to Python at once, whatever the session's setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def durable(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession

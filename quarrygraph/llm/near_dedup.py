@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, partitions, read
+from .common import durable, partitions, read, small_batches
 from .components import connected_components
 
 LABELS = 128
@@ -42,10 +42,10 @@ _P, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class _WordHashes(dict):
-    """64-bit hashes of words, kept while there are at most two million."""
+    """64-bit hashes of words, kept while they are few; a task that ends forgets them, so that later stages have the memory."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -99,6 +99,7 @@ def _sketcher(k: int):
                 nodes.append(_digest(s) if len(s) else None)
                 marks.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(marks, pa.binary())], names=["doc_id", "n", "node", "mark"])
+        _HASHES.clear()
 
     return run
 
@@ -197,6 +198,7 @@ def _setter(k: int):
         for batch in batches:
             sets = [shingle_set(t.as_py(), k) for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "bits"])
+        _HASHES.clear()
 
     return run
 
@@ -228,6 +230,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: links are Jaccard >= percent / 100 of k-word shingle sets."""
+    small_batches(docs.sparkSession)
     marked = durable(sketches(docs, k))
     classes = durable(marked.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("mark").alias("mark")))
     pairs = durable(candidates(classes, percent / 100))
