@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrygraph import schemas
+from quarrygraph.compiler import pr_facts
 from quarrygraph.functions import scalars as S
 from quarrygraph.operators import diff as D
+from quarrygraph.operators import normalize as N
 from quarrygraph.operators import resolve as R
 from quarrygraph.operators import search as X
 from quarrygraph.operators import serve as Q
+from quarrygraph.operators import wiki as W
 from quarrygraph.streaming import reconcile as T
 
 from .binding import REPO, Bound
@@ -414,6 +418,38 @@ def header_score_sets(b: Bound) -> DataFrame:
     return sets.withColumn("score", score)
 
 
+@query("SELECT slug, name, sha256(payload) AS content_hash FROM (SELECT 'pull-request/' || o_orderkey AS slug, 'KC-' || (o_orderkey % 50) || ' ' || o_orderpriority AS name, '{\"body\":null,\"files\":[],\"linked_issue_keys\":[\"KC-' || (o_orderkey % 50) || '\"],\"merge_commit_sha\":\"s' || o_orderkey || '\",\"merged_at\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '\",\"number\":' || o_orderkey || ',\"title\":\"KC-' || (o_orderkey % 50) || ' ' || o_orderpriority || '\"}' AS payload FROM orders)")
+def pull_request_entities(b: Bound) -> DataFrame:
+    """Orders as merged pull requests: facts, then entities with canonical payloads."""
+    title = F.concat(F.lit("KC-"), (F.col("o_orderkey") % 50).cast("string"), F.lit(" "), F.col("o_orderpriority"))
+    none = F.array().cast("array<struct<path:string,change:string,old_path:string>>")
+    prs = b.table("orders").select(F.col("o_orderkey").cast("int").alias("number"), title.alias("title"), F.lit(None).cast("string").alias("body"), F.col("o_orderdate").cast("timestamp").alias("merged_at"), F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("merge_commit_sha"), none.alias("files"))
+    return N.pull_requests(pr_facts(prs, REPO)).select("slug", "name", "content_hash")
+
+
+@query("SELECT 'jira-story/kc-' || k AS slug, linked_pr, names AS linked_feature_names FROM (SELECT c_custkey % 50 AS k, max(c_custkey) AS linked_pr, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS names FROM customer GROUP BY 1)")
+def jira_story_entities(b: Bound) -> DataFrame:
+    """Customers as stories with a pull request and linked features, which are merged by key."""
+    key = F.concat(F.lit("KC-"), (F.col("c_custkey") % 50).cast("string"))
+    rows = b.table("customer").select(key.alias("key"), "c_custkey", "c_mktsegment")
+    fact = lambda df, kind, payload: df.select(F.lit(REPO).alias("repo_id"), F.lit(kind).alias("fact_type"), F.to_json(payload).alias("payload"), F.array().cast("array<string>").alias("artifact_refs"), F.lit("x").alias("extractor"), F.sha2(F.to_json(payload), 256).alias("content_hash"), F.array().cast(f"array<{schemas.ANCHOR}>").alias("anchors"))
+    seen = fact(rows.groupBy("key").agg(F.max("c_custkey").alias("pr")), "jira_observed", F.struct("key", F.col("pr").cast("int").alias("linked_pr")))
+    linked = fact(rows, "jira_feature_link_observed", F.struct(F.col("key").alias("jira_key"), F.array("c_mktsegment").alias("feature_names")))
+    made = N.jira_stories(seen.unionByName(linked))
+    names = F.from_json(F.get_json_object("payload", "$.linked_feature_names"), "array<string>")
+    return made.select("slug", F.get_json_object("payload", "$.linked_pr").cast("long").alias("linked_pr"), F.array_join(names, ",").alias("linked_feature_names"))
+
+
+@query("SELECT path, CASE WHEN doc_id % 7 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'log.md-frontmatter' END WHEN doc_id % 7 = 1 THEN CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'index.md-frontmatter' END WHEN doc_id % 2 <> 0 THEN 'missing-frontmatter' WHEN doc_id % 3 <> 0 THEN 'missing-type' END AS rule FROM (SELECT doc_id, 'd' || doc_id || '/' || CASE doc_id % 7 WHEN 0 THEN 'log.md' WHEN 1 THEN 'index.md' ELSE 'page.md' END AS path FROM documents) WHERE rule IS NOT NULL")
+def bundle_conformance(b: Bound) -> DataFrame:
+    """Documents as pages: even ones have front matter, every third of those a type."""
+    n = F.col("doc_id")
+    name = F.when(n % 7 == 0, "log.md").when(n % 7 == 1, "index.md").otherwise("page.md")
+    front = F.when(n % 2 == 0, F.concat(F.lit("---\n"), F.when(n % 3 == 0, F.lit("type: component\n")).otherwise(F.lit("okf_version: 1\n")), F.lit("---\n"))).otherwise(F.lit(""))
+    files = b.table("documents").select(F.concat(F.lit("d"), n.cast("string"), F.lit("/"), name).alias("path"), F.concat(front, F.coalesce("text", F.lit(""))).alias("text"))
+    return W.conformance(files)
+
+
 @query(None)
 def cascade_match_or_mint(b: Bound) -> DataFrame:
     """Part names as candidates of three types, resolved against half of them; no SQL twin, tests compare with a sequential model."""
