@@ -61,20 +61,19 @@ def keyword(docs: DataFrame, query: str, limit: int) -> DataFrame:
     wanted = sorted({w for g in parse(query) for want, words in g if want for w in words})
     tokens = F.filter(F.split(F.lower(F.coalesce("body", F.lit(""))), TOKEN), lambda t: t != "")
     sized = docs.select(tokens.alias("t"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"), *[F.count_if(F.array_contains("t", w)).alias(f"df_{i}") for i, w in enumerate(wanted)])
+    stats = sized.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"), *[F.count_if(F.array_contains("t", w)).alias(f"df_{i}") for i, w in enumerate(wanted)]).alias("s")).scalar()
     score = F.lit(0.0)
     for i, w in enumerate(wanted):
         tf = F.coalesce(F.col("counts")[w], F.lit(0))
-        idf = F.log(1 + (F.col("n") - F.col(f"df_{i}") + 0.5) / (F.col(f"df_{i}") + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / F.col("mean")))
-    # stats is one row
-    return match(docs, query).crossJoin(F.broadcast(stats)).select("key", F.round(score, 8).alias("score")).orderBy(F.col("score").desc(), "key").limit(limit)
+        df = F.col(f"_s.df_{i}")
+        score = score + F.log(1 + (F.col("_s.n") - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / F.col("_s.mean")))
+    return match(docs, query).withColumn("_s", stats).select("key", F.round(score, 8).alias("score")).orderBy(F.col("score").desc(), "key").limit(limit)
 
 
 def nearest(vectors: DataFrame, query: DataFrame, limit: int) -> DataFrame:
     """(key, score): the rows of vectors(key, vector) closest to query's one vector by cosine, rounded to 6 places, ties by key."""
-    one = query.select(F.col("vector").alias("_q")).limit(1)
-    scored = vectors.crossJoin(F.broadcast(one)).select("key", F.round(S.cosine(F.col("vector"), F.col("_q")), 6).alias("score"))
+    one = query.select("vector").limit(1).scalar()
+    scored = vectors.withColumn("_q", one).select("key", F.round(S.cosine(F.col("vector"), F.col("_q")), 6).alias("score"))
     return scored.where("score IS NOT NULL").orderBy(F.col("score").desc(), "key").limit(limit)
 
 

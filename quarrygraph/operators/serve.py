@@ -6,7 +6,7 @@ to_slug), components(repo_id, slug, path, files, kill_rate, last_run), runs and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrygraph.functions import scalars as S
@@ -156,8 +156,5 @@ def stats(entities: DataFrame, edges: DataFrame, runs: DataFrame) -> DataFrame:
     """One row: counts by type as a map, edges, and the last succeeded run."""
     counts = entity_counts(entities).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n")))).alias("entity_counts"))
     last = runs.where("status = 'succeeded'").agg(F.max(F.struct("compile_run_id", "commit_sha", "degraded")).alias("last_run"))
-    return counts.crossJoin(edges.agg(F.count(F.lit(1)).alias("n_edges"))).crossJoin(last)  # three tables of one row
+    return counts.select("entity_counts", edges.agg(F.count(F.lit(1))).scalar().alias("n_edges"), last.scalar().alias("last_run"))
 
-
-def latest(column: str, *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(column).orderBy(*order))

@@ -99,6 +99,17 @@ def test_coverage_states(spark):
     assert scores["f0"] == 0.0 == scores["f3"] and 0 < scores["f1"] < scores["f2"] < 100
 
 
+def test_entity_views(spark):
+    entities = spark.createDataFrame([("r", "component/a", "component", "a"), ("r", "api/x", "api", "x")], "repo_id string, slug string, entity_type string, name string")
+    edges = spark.createDataFrame([("r", "defined_in", "api/x", "component/a"), ("r", "documents", "wiki-page/a", "component/a")], schemas.EDGES)
+    proof = spark.createDataFrame([("r", i, "component/a", "component_observed") for i in range(8)], "repo_id string, compile_run_id int, slug string, fact_type string")
+    runs = spark.createDataFrame([("r", 1, "succeeded", "s1", False), ("r", 2, "failed", "s2", False)], "repo_id string, compile_run_id int, status string, commit_sha string, degraded boolean")
+    one = serve.get_entity(entities, edges, proof, "component/a").first()
+    assert [tuple(r) for r in one.relations] == [("in", "defined_in", "api/x")] and [p.compile_run_id for p in one.provenance] == [7, 6, 5, 4, 3]
+    row = serve.stats(entities, edges, runs).first()
+    assert row.entity_counts == {"api": 1, "component": 1} and row.n_edges == 2 and row.last_run.compile_run_id == 1
+
+
 def test_reconcile_order(spark):
     t = lambda h: datetime.datetime(2024, 1, 1, h)
     kind = "repo_id string, kind string, key string, ts timestamp, sha string"
