@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, read, small_batches
+from .common import durable, read, small_batches, tidy
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']*(?:"[^"]*"|'[^']*'))*[^>"']*|[^>]*)(?:>|\Z))""", re.S)
 _MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -35,7 +35,7 @@ _DROPPED = {"nav", "footer", "aside", "form", "head", "button", "select", "svg",
 #: Words of class, id or role that mark page furniture.
 _FURNITURE = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager",
-    "header", "masthead", "footer", "sidebar", "aside", "side", "complementary", "contentinfo", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "notification", "popup", "modal", "overlay", "comment", "comments",
+    "header", "masthead", "footer", "sidebar", "aside", "complementary", "contentinfo", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "notification", "popup", "modal", "overlay", "comment", "comments",
     "disqus", "reply", "replies", "respond", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "signup", "login", "search", "toolbar", "widget", "hidden", "skip", "form", "disclaimer",
 }
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -52,9 +52,14 @@ class _Open:
 
 
 def _furniture(tag: str, marks: str, in_article: bool) -> bool:
+    """True if the tag or a word of its marks speaks of page furniture; a header inside an article is the article's own, and `no-sidebar` means none."""
     if tag in _DROPPED or tag == "header" and not in_article:
         return True
-    return tag not in ("body", "article", "main", "html") and any(w in _FURNITURE for w in re.split(r"[^a-z0-9]+", marks))
+    if tag in ("body", "article", "main", "html"):
+        return False
+    words = [w for w in re.split(r"[^a-z0-9]+", marks) if w]
+    named = (w for w, before in zip(words, ["", *words]) if w in _FURNITURE and before not in ("no", "has", "with", "without"))
+    return any(not in_article or w not in ("header", "masthead") for w in named)
 
 
 def walk(html: str) -> Iterator[tuple[str, list[_Open]]]:
@@ -182,7 +187,7 @@ def host_of(url):
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """(host, path): the container path with the most votes of each host; ties go to the greatest path."""
-    votes = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_voter, "host string, path string, score long")
+    votes = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(tidy(_voter), "host string, path string, score long")
     return votes.groupBy("host", "path").agg(F.sum("score").alias("score")).groupBy("host").agg(F.max(F.struct("score", "path")).alias("m")).select("host", F.col("m.path").alias("path"))
 
 
@@ -191,7 +196,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     known = durable(host_paths(pages))
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    return rows.join(known, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "path").mapInArrow(_extractor, "page_id long, url string, text string, path string")
+    return rows.join(known, "host", "left").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "path").mapInArrow(tidy(_extractor), "page_id long, url string, text string, path string")
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

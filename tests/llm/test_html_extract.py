@@ -23,6 +23,8 @@ def test_odd_markup():
     assert read("<article><p>cut off in <b>the midd") == "cut off in the midd"
     assert read("<article><p>a<p>b</article") == "a\nb"
     assert read("<article><p>a &lt; b && c < d</p><!-- <p>no</p> --><p>e</p></article>") == "a < b && c < d\ne"
+    assert read('<body><div class="content no-sidebar"><p>long enough text</p></div><div class="sidebar">x</div></body>') == "long enough text"
+    assert read('<article><header class="post-header"><h1>T</h1></header><p>x</p><div class="share">s</div></article>') == "T\nx"
     assert read('<body><div><p title="a > b">x</p></div></body>') == "x"
 
 
