@@ -7,13 +7,14 @@ features, business rules and risks; pages are HTTP routes; days of events are co
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph.functions import scalars as S
+from quarrygraph.operators.durable import durable
 
 REPO = "trade"
 JOURNEY_STEPS = 3
@@ -23,6 +24,13 @@ JOURNEY_STEPS = 3
 class Bound:
     spark: SparkSession
     sf_dir: str
+    kept: dict = field(default_factory=dict)
+
+    def once(self, name: str) -> DataFrame:
+        """A table of this class, computed once and written, for queries that use it several times."""
+        if name not in self.kept:
+            self.kept[name] = durable(getattr(self, name))
+        return self.kept[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

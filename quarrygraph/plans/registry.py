@@ -14,6 +14,7 @@ from quarrygraph.operators import resolve as R
 from quarrygraph.operators import search as X
 from quarrygraph.operators import serve as Q
 from quarrygraph.operators import wiki as W
+from quarrygraph.operators.durable import durable
 from quarrygraph.streaming import reconcile as T
 
 from .binding import REPO, Bound
@@ -112,7 +113,7 @@ def api_aggregate_routes(b: Bound) -> DataFrame:
 
 def _resolved(b: Bound) -> DataFrame:
     known = b.paths.select(F.lit(REPO).alias("repo_id"), "path")
-    return R.resolve(b.imports.select("repo_id", "name"), known)
+    return R.resolve(b.once("imports").select("repo_id", "name"), known)
 
 
 @query("SELECT name, path FROM by_prefix")
@@ -127,13 +128,14 @@ def resolve_internal_suffix(b: Bound) -> DataFrame:
 
 def _depends(b: Bound) -> DataFrame:
     component = lambda path: S.entity_slug(F.lit("component"), path)
-    joined = b.imports.join(_resolved(b), ["repo_id", "name"]).where(F.col("from_path") != F.col("path"))
+    joined = b.once("imports").join(_resolved(b), ["repo_id", "name"]).where(F.col("from_path") != F.col("path"))
     return joined.select("repo_id", F.lit("depends_on").alias("relation_type"), component(F.col("from_path")).alias("from_slug"), component(F.col("path")).alias("to_slug")).distinct()
 
 
 def _contains(b: Bound) -> DataFrame:
-    parents = b.components.select("repo_id", F.col("path").alias("parent"), F.col("slug").alias("parent_slug"))
-    child = b.components.withColumn("parent", F.when(F.col("path").contains("."), F.regexp_replace("path", r"\.[^.]*$", "")))
+    comps = b.once("components")
+    parents = comps.select("repo_id", F.col("path").alias("parent"), F.col("slug").alias("parent_slug"))
+    child = comps.withColumn("parent", F.when(F.col("path").contains("."), F.regexp_replace("path", r"\.[^.]*$", "")))
     return child.join(parents, ["repo_id", "parent"], "left").select("repo_id", F.lit("contains").alias("relation_type"), F.coalesce("parent_slug", F.lit(f"project/{REPO}")).alias("from_slug"), F.col("slug").alias("to_slug"))
 
 
@@ -172,9 +174,10 @@ def user_journey_steps(b: Bound) -> DataFrame:
 
 
 def _journeys(b: Bound) -> DataFrame:
-    alive = b.components.select("repo_id", "slug", F.lit("component").alias("entity_type"))
-    needed = Q.step_components(b.steps, b.links, alive)
-    return Q.journey_coverage(b.steps.select("repo_id", "journey").distinct(), needed, b.covers)
+    alive = b.once("components").select("repo_id", "slug", F.lit("component").alias("entity_type"))
+    steps = b.once("steps")
+    needed = durable(Q.step_components(steps, b.links, alive))
+    return Q.journey_coverage(steps.select("repo_id", "journey").distinct(), needed, b.once("covers"))
 
 
 @query("SELECT * FROM journeys")
@@ -194,16 +197,17 @@ def _impact_edges(b: Bound) -> DataFrame:
 
 @query("SELECT slug, target, verdict FROM targets")
 def impact_plan(b: Bound) -> DataFrame:
-    covered = Q.coverage(b.components, b.covers, b.tests)
-    return Q.impact_targets(b.components, _impact_edges(b), b.components, covered).drop("repo_id")
+    comps = b.once("components")
+    return Q.impact_targets(comps, _impact_edges(b), comps, Q.coverage(comps, b.covers, b.tests)).drop("repo_id")
 
 
 @query("SELECT slug, target_kind, count(*) AS n, count(DISTINCT component) AS n_components, min(target) AS first_target FROM (SELECT t.slug, 'symbols' AS target_kind, t.target AS component, c.path || '.run' AS target FROM targets t JOIN components c ON c.slug = t.target WHERE verdict = 'gap' UNION ALL SELECT t.slug, CASE verdict WHEN 'stale' THEN 'stale_retest' ELSE 'low_mutation_kill' END, t.target, v.test FROM targets t JOIN covers v ON v.slug = t.target WHERE verdict IN ('stale', 'low_kill') UNION ALL SELECT DISTINCT s.slug, 'journey', s.journey, NULL FROM (SELECT journey, step AS slug FROM steps UNION SELECT journey, journey FROM steps) s JOIN journeys j ON j.journey = s.journey WHERE NOT covered_end_to_end) GROUP BY 1, 2")
 def test_plan_summary(b: Bound) -> DataFrame:
-    covered = Q.coverage(b.components, b.covers, b.tests)
-    targets = Q.impact_targets(b.components, _impact_edges(b), b.components, covered)
-    symbols = b.components.select("repo_id", "slug", F.concat("path", F.lit(".run")).alias("symbol_path"), F.lit("function").alias("kind"))
-    plan = Q.test_plan(targets, covered, b.links, symbols, _journeys(b), b.steps)
+    comps = b.once("components")
+    covered = durable(Q.coverage(comps, b.once("covers"), b.tests))
+    targets = durable(Q.impact_targets(comps, _impact_edges(b), comps, covered))
+    symbols = comps.select("repo_id", "slug", F.concat("path", F.lit(".run")).alias("symbol_path"), F.lit("function").alias("kind"))
+    plan = Q.test_plan(targets, covered, b.links, symbols, _journeys(b), b.once("steps"))
     return plan.groupBy("slug", "target_kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("component").alias("n_components"), F.min("target").alias("first_target"))
 
 
