@@ -32,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read, small_batches
+from .common import partitions, read, small_batches, tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK_BYTES = 32 << 20
 _PARCEL_TOKENS = 200_000
 _LEVEL = 9
+#: Packed rows have up to some hundred kilobytes each.
+_BATCH_ROWS = 64
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
 #: Packed rows: target deals them out, kind is 0 for pre-tokens and 1 for texts, block and part name their place.
 _PACKED = "target long, kind int, block long, part long, head binary, body binary"
@@ -228,15 +230,15 @@ def _id_lists(doc_ids: list[int | None], coded: list[bytes]) -> pa.RecordBatch:
 
 
 def _encoded(docs: DataFrame, vocabulary: str, block_bytes: int, finish, schema: str) -> DataFrame:
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, _BATCH_ROWS)
     dealt = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = rows.mapInArrow(_splitter(4 * dealt, block_bytes), _PACKED)
+    packed = rows.mapInArrow(tidy(_splitter(4 * dealt, block_bytes)), _PACKED)
     # Buckets of pre-tokens stay whole; texts go along, spread by block and part.
     by_word = packed.repartition(dealt, F.when(F.col("kind") == 0, F.col("part")).otherwise(F.xxhash64("block", "part"))).sortWithinPartitions("kind", "part", "block")
-    coded = by_word.mapInArrow(_bucket_encoder(vocabulary), _PACKED)
+    coded = by_word.mapInArrow(tidy(_bucket_encoder(vocabulary)), _PACKED)
     by_block = coded.repartition(dealt, "block").sortWithinPartitions("block", "kind", "part")
-    return by_block.mapInArrow(_assembler(finish), schema)
+    return by_block.mapInArrow(tidy(_assembler(finish)), schema)
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -256,7 +258,7 @@ def _decoder(vocabulary: str):
 
 def decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, raw): the bytes of every row's ids, by the token-byte table of the vocabulary."""
-    return coded.select("doc_id", "ids").mapInArrow(_decoder(vocabulary), "doc_id long, raw binary")
+    return coded.select("doc_id", "ids").mapInArrow(tidy(_decoder(vocabulary)), "doc_id long, raw binary")
 
 
 def _digester(vocabulary: str):

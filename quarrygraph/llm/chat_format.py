@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read, small_batches
+from .common import partitions, read, small_batches, tidy
 
 #: Strings that steer chat models; the first two mark this template's turns.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>")
@@ -442,7 +442,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
     small_batches(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(_renderer(template), _SEGMENT)
+    return ordered.select("conv_id", "role", "text").mapInArrow(tidy(_renderer(template)), _SEGMENT)
 
 
 _OPEN, _CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -501,7 +501,7 @@ def _digester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_back(segments: DataFrame) -> DataFrame:
     """One row for each conversation, from its segments in their order of writing."""
-    return segments.select("conv_id", "seq", "text", "spans").mapInArrow(_digester, _DIGEST)
+    return segments.select("conv_id", "seq", "text", "spans").mapInArrow(tidy(_digester), _DIGEST)
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +30,30 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows here hold whole texts or sets: no more than BATCH_ROWS of them go to Python at once, whatever the session's setting."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def release() -> None:
+    """Give memory that a Python task no longer needs back to the system; the worker lives on for other stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """A function over batches that releases memory when its task ends."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Rows here hold whole texts, sets or packed blocks: so many at most go to Python at once, whatever the session's setting."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def durable(df: DataFrame, codec: str = "zstd") -> DataFrame:

@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import read, small_batches
+from .common import read, small_batches, tidy
 
 SAMPLE_CHARS = 40_000
 SAMPLE_ROWS = 400
 WINDOW = 512
 UND = "und"
-_LANES = 1 << 14
+_LANES = 1 << 12
 
 
 def _lower_letters() -> np.ndarray:
@@ -149,10 +149,9 @@ class CrossParser:
             size = np.minimum(WINDOW, sizes[who] - start)
             order = np.argsort(-size, kind="stable")
             who, start, size = who[order], start[order], size[order]
-            grid = np.zeros((int(size.max()), len(who)), np.int64)
-            steps = np.arange(len(grid))[:, None]
-            index = (base[who] + start)[None, :] + steps
-            grid[:] = whole[np.minimum(index, len(whole) - 1)]
+            index = (base[who] + start)[None, :] + np.arange(int(size.max()))[:, None]
+            grid = whole[np.minimum(index, len(whole) - 1, out=index)].astype(np.int32)
+            del index
             for j, table in enumerate(self.tables):
                 np.add.at(phrases[:, j], who, self._phrases(table, grid, size))
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -224,7 +223,7 @@ def annotate(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             texts, size, start = batch.column(place), 0, 0
             for i in range(len(batch)):
                 size += len(texts[i].as_buffer()) if texts[i].is_valid else 0
-                if size > 4_000_000 or i == len(batch) - 1:
+                if size > 2_000_000 or i == len(batch) - 1:
                     a, b, c = parser.predict(texts.slice(start, i + 1 - start).to_pylist())
                     langs += a
                     scores += b
@@ -233,7 +232,7 @@ def annotate(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=[*batch.schema.names, "__lang_pred", "__score", "__phrase_rate"])
 
     added = StructType.fromDDL(ADDED)
-    return docs.mapInArrow(run, StructType(docs.schema.fields + added.fields))
+    return docs.mapInArrow(tidy(run), StructType(docs.schema.fields + added.fields))
 
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, partitions, read, small_batches
+from .common import durable, partitions, read, small_batches, tidy
 from .components import connected_components
 
 LABELS = 128
@@ -106,7 +106,7 @@ def _sketcher(k: int):
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, node, mark): shingle count, class digest and signature of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_sketcher(k), "doc_id long, n long, node binary, mark binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_sketcher(k)), "doc_id long, n long, node binary, mark binary")
 
 
 def _planter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +188,9 @@ def _scanner(threshold: float):
 def candidates(classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b, same): pairs of classes that are neighbours or hub and member in some order of the forest."""
     spark = classes.sparkSession
-    forest = classes.select("node", "n", "mark").mapInArrow(_planter, "tree int, key binary, node binary, n long")
+    forest = classes.select("node", "n", "mark").mapInArrow(tidy(_planter), "tree int, key binary, node binary, n long")
     ordered = forest.repartitionByRange(partitions(spark), "tree", "key").sortWithinPartitions("tree", "key", "node")
-    return ordered.mapInArrow(_scanner(threshold), "a binary, b binary, same int").groupBy("a", "b").agg(F.max("same").alias("same"))
+    return ordered.mapInArrow(tidy(_scanner(threshold)), "a binary, b binary, same int").groupBy("a", "b").agg(F.max("same").alias("same"))
 
 
 def _setter(k: int):
@@ -225,7 +225,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v): the pairs (a, b) whose full sets overlap enough."""
     first = sets.select(F.col("node").alias("a"), F.col("bits").alias("x"))
     second = sets.select(F.col("node").alias("b"), F.col("bits").alias("y"))
-    return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(_judge(percent), "u binary, v binary")
+    return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(tidy(_judge(percent)), "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = durable(classes.join(ends, "node", "left_semi").select("node", F.col("doc").alias("named")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     picked = texts.join(named.select(F.col("named").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    wanted = picked.mapInArrow(_setter(k), "node binary, bits binary")
+    wanted = picked.mapInArrow(tidy(_setter(k)), "node binary, bits binary")
     sets = durable(wanted.dropDuplicates(["node"]))
     # First each class with its likeliest partner, then what still lies between different components.
     sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "same"))

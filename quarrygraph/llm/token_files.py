@@ -24,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, read, shared_dir, small_batches
+from .common import partitions, read, shared_dir, small_batches, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -125,7 +125,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    coded = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_writer(public_tokenizers.path(vocabulary), end_id), "part int, doc_id long, before long, n_tokens long, ids array<int>")
+    coded = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(tidy(_writer(public_tokenizers.path(vocabulary), end_id)), "part int, doc_id long, before long, n_tokens long, ids array<int>")
     writer = coded.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
     writer.option("orc.create.index", "true").option("orc.row.index.stride", str(ROW_INDEX_STRIDE)).option("orc.stripe.size", str(STRIPE_BYTES)).orc(path)
 
@@ -153,4 +153,4 @@ def _digester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(read(spark, sf_dir, "documents"), path)
-    return read_tokens(spark, path).mapInArrow(_digester, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_tokens(spark, path).mapInArrow(tidy(_digester), "doc_id long, start long, n_tokens long, ids_crc32 long")

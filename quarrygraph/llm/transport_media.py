@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, read, small_batches
+from .common import durable, read, small_batches, tidy
 
 BLOCK = 192
 UNIT_BYTES = 4096
@@ -195,7 +195,7 @@ def _muxer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_table(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media, points): the stream of every row with the time stamps and packets of its random-access points."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_muxer, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_muxer), _SCHEMA)
 
 
 _FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -218,7 +218,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(media: DataFrame) -> DataFrame:
     """What reading every stream back gives: sizes, digests and a feature string."""
-    return media.select("doc_id", "n_bytes", "media", "points").mapInArrow(_reader, _FEATURES)
+    return media.select("doc_id", "n_bytes", "media", "points").mapInArrow(tidy(_reader), _FEATURES)
 
 
 def op7_transport_media(spark: SparkSession, sf_dir: str) -> DataFrame:
