@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .durable import durable
+
 T_ANCHOR, T_NAME = 0.5, 0.8
 _ANCHORS = "array<struct<file_path:string,symbol_path:string>>"
 OUTPUT = f"repo_id string, entity_type string, slug string, name string, payload string, content_hash string, anchors {_ANCHORS}, rule string, signals map<string,double>, sources array<string>, conflict array<string>, warning string"
@@ -138,18 +140,24 @@ def _spots(anchors) -> frozenset:
     return frozenset((a["file_path"], a["symbol_path"]) for a in anchors) if anchors is not None else frozenset()
 
 
+_LEFT = ["repo_id", "entity_type", "title", "payload", "content_hash", "anchors"]
+_RIGHT = ["repo_id", "entity_type", "slug", "title", "payload", "anchors"]
+
+
 def _resolve(largest_wins: bool):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         repo, entity_type = key
-        known = [_Known(r.slug, r.name_, json.loads(r.payload or "{}"), _spots(r.anchors)) for r in right.rename(columns={"name": "name_"}).itertuples()]
+        # By place: the optimizer may give columns the names they had further up.
+        left, right = left.set_axis(_LEFT, axis=1), right.set_axis(_RIGHT, axis=1)
+        known = [_Known(r.slug, r.title, json.loads(r.payload or "{}"), _spots(r.anchors)) for r in right.itertuples()]
         state = Resolver(entity_type, known, largest_wins=largest_wins)
         out = []
-        for r in left.rename(columns={"name": "name_"}).sort_values(["content_hash", "payload"]).itertuples():
+        for r in left.sort_values(["content_hash", "payload"]).itertuples():
             anchors = _spots(r.anchors)
             if not anchors:
-                out.append((repo, entity_type, None, r.name_, r.payload, None, [], "rejected", {}, [r.content_hash], [], f"rejected {entity_type} '{r.name_}': missing anchors"))
+                out.append((repo, entity_type, None, r.title, r.payload, None, [], "rejected", {}, [r.content_hash], [], f"rejected {entity_type} '{r.title}': missing anchors"))
                 continue
-            state.take(r.name_, json.loads(r.payload or "{}"), anchors, r.content_hash)
+            state.take(r.title, json.loads(r.payload or "{}"), anchors, r.content_hash)
         for k in sorted((k for k in state.known.values() if k.touched), key=lambda k: k.slug):
             spots = [{"file_path": a, "symbol_path": b} for a, b in sorted(k.anchors, key=lambda a: (a[0], a[1] or ""))]
             payload = json.dumps(k.payload, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
@@ -167,6 +175,7 @@ def match_or_mint(candidates: DataFrame, current: DataFrame, largest_wins: bool
     """
     plain = lambda df: df.withColumn("anchors", F.transform("anchors", lambda a: F.struct(a["file_path"].alias("file_path"), a["symbol_path"].alias("symbol_path"))))
     left = plain(candidates.select("repo_id", "entity_type", "name", "payload", "content_hash", "anchors")).groupBy("repo_id", "entity_type")
-    right = plain(current.select("repo_id", "entity_type", "slug", "name", "payload", "anchors")).groupBy("repo_id", "entity_type")
+    # Written first: two sides of one lineage share columns, which the optimizer then prunes on one of them.
+    right = durable(plain(current.select("repo_id", "entity_type", "slug", "name", "payload", "anchors"))).groupBy("repo_id", "entity_type")
     return left.cogroup(right).applyInPandas(_resolve(largest_wins), OUTPUT)
 

@@ -50,6 +50,7 @@ def _embedder(embedder: Embedder):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = False
         for batch in batches:
+            batch = batch.set_axis(["repo_id", "slug", "text", "text_hash"], axis=1)
             for at in range(0, len(batch), BATCH):
                 part = batch.iloc[at : at + BATCH]
                 vectors = None

@@ -30,7 +30,7 @@ def fact(repo_id: str, fact_type: str, payload: dict, refs: list[str], extractor
 def _analyse(batches: Iterator[pd.DataFrame], configs: list[tuple]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for repo_id, ref, content in zip(batch["repo_id"], batch["source_ref"], batch["content"]):
+        for repo_id, ref, content in zip(*(batch.iloc[:, k] for k in range(3))):  # by place: the optimizer may rename columns
             if content is None:
                 continue
             if ref.endswith(".py"):

@@ -116,7 +116,7 @@ def _ask(provider: Provider, model_id: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for r in batch.itertuples():
+            for r in batch.set_axis(["cache_key", "source_ref", "module", "symbols", "content"], axis=1).itertuples():
                 symbols = [s["symbol_path"] for s in r.symbols] if r.symbols is not None else []
                 output, warning = None, None
                 for _ in range(2):  # one more try for an answer that doesn't fit
@@ -146,7 +146,7 @@ def extract_semantic(artifacts: DataFrame, facts: DataFrame, cache: DataFrame, p
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for r in batch.itertuples():
+            for r in batch.set_axis(["repo_id", "source_ref", "content", "symbols", "output"], axis=1).itertuples():
                 symbols = {s["symbol_path"]: (s["lo"], s["hi"]) for s in r.symbols} if r.symbols is not None else {}
                 rows += candidate_facts(r.repo_id, r.source_ref, r.content, symbols, parse_answer(r.output))
             yield pd.DataFrame(rows, columns=["repo_id", "fact_type", "payload", "artifact_refs", "extractor", "content_hash", "anchors"])

@@ -38,7 +38,7 @@ def artifact(repo_id: str, ref: str, raw: bytes) -> tuple | None:
 def _read(repo_id: str, one) -> callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [artifact(repo_id, ref, raw) for ref in batch["source_ref"] if (raw := one(ref)) is not None]
+            rows = [artifact(repo_id, ref, raw) for ref in batch.iloc[:, 0] if (raw := one(ref)) is not None]
             yield pd.DataFrame([r for r in rows if r], columns=_COLUMNS)
 
     return run

@@ -47,6 +47,12 @@ def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "coverage_for_all" in entry.queries()
 
 
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+def test_without_a_twin(spark, name):
+    frame = registry.QUERIES[name](spark, DIR)
+    assert frame.count() > 0 and len(frame.limit(5).collect()) == 5
+
+
 def sequential(known, candidates):
     """The cascade without indices, groups or Spark."""
     state = {k: {"name": n, "payload": p, "anchors": set(a), "touched": False} for k, n, p, a in known}
