@@ -1,7 +1,7 @@
 """Secret scanning with a random forest that removes false positives; scanning and scoring in DataFrame operations only.
 
-Candidates are long runs of key characters with a digit, private-key blocks and known key formats, found word by
-word. Each has features: its length, how often the kind of character changes, its share of distinct characters, digits
+Candidates are all long runs of key characters with a digit, private-key blocks and known key formats, found word by
+word; a word may hold several. Each has features: its length, how often the kind of character changes, its share of distinct characters, digits
 and hexadecimal characters, how much of it dictionary words cover, whether its path (source) speaks of tests or examples, and
 whether the neighbouring words speak of keys or of harmless values. A random forest trained on labelled findings scores
 candidates; its trees become one SQL expression, so scoring stays in generated code. Labelled findings are a parameter;
@@ -32,8 +32,8 @@ DICTIONARY = ("example", "sample", "dummy", "test", "token", "secret", "password
 KEY_WORDS = "token|secret|passw|passwd|pwd|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private|client[_-]?secret|signing"
 CALM_WORDS = r"\b(commit|sha[0-9]*|md5|checksum|digest|hash|uuid|guid|revision|etag|version|order|invoice|phone|card|isbn|example|sample|placeholder)\b"
 TEST_PATHS = "test|spec|example|sample|fixture|mock|demo|docs?/"
-#: Known key formats (fixed values, as their issuers publish them).
-FORMATS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*|glpat-[A-Za-z0-9_-]{20,})$"
+#: Known key formats (fixed values, as their issuers publish them), also where punctuation follows.
+FORMATS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*|glpat-[A-Za-z0-9_-]{20,})[.\-/+=]*$"
 CORE = r"([A-Za-z0-9_+/.\-]{16,}=*)"
 PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"
 FEATURES = ("f_length", "f_changes", "f_distinct", "f_digits", "f_hex", "f_upper", "f_dictionary", "f_format", "f_key_word", "f_calm_word", "f_test_path", "f_assigned")
@@ -120,11 +120,16 @@ def with_candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # A text without sixteen key characters in a row can't hold a candidate; most of the others end at the digit.
     likely = docs.withColumn("_words", F.when(text.rlike(r"[A-Za-z0-9_+/.\-]{16}"), F.split(text, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")))
-    hits = r"filter(transform(_words, (w, i) -> struct(i AS at, IF(length(w) >= 16, regexp_extract(w, r'[A-Za-z0-9_+/.\-]{16,}=*', 0), '') AS candidate)), x -> x.candidate rlike '[0-9]')"
+    # Every run of a word, with the word's parts around the runs: split and extract_all agree run by run.
+    runs = r"regexp_extract_all(w, r'[A-Za-z0-9_+/.\-]{16,}=*', 0)"
+    cut = rf"transform(_words, (w, i) -> IF(length(w) >= 16, struct(CAST(i AS BIGINT) AS at, {runs} AS runs, split(w, r'[A-Za-z0-9_+/.\-]{{16,}}=*', -1) AS gaps), NULL))"
+    # A run's name is the gap before it or, where that has no letter (NAME=value, "name":"value"), also the run and the gap before.
+    named = "concat(IF(k > 0 AND NOT x.gaps[k] rlike '[A-Za-z]', concat(x.gaps[k - 1], x.runs[k - 1]), ''), x.gaps[k])"
+    hits = rf"filter(flatten(transform(filter({cut}, x -> size(x.runs) > 0), x -> transform(x.runs, (r, k) -> struct(x.at AS at, r AS candidate, {named} AS name)))), x -> x.candidate rlike '[0-9]')"
     placed = likely.withColumn("_hits", F.expr(hits))
-    near = rf"""transform(_hits, x -> struct(CAST(x.at AS BIGINT) AS at, x.candidate AS candidate,
-        concat_ws(' ', slice(_words, greatest(x.at - {NEIGHBOURS}, 0) + 1, least(x.at, {NEIGHBOURS})), regexp_extract(_words[x.at], r'^(.*?)[A-Za-z0-9_+/.\-]{{16,}}=*', 1)) AS before,
-        concat_ws(' ', slice(_words, x.at + 2, {NEIGHBOURS})) AS after))"""
+    near = rf"""transform(_hits, x -> struct(x.at AS at, x.candidate AS candidate,
+        concat_ws(' ', slice(_words, CAST(greatest(x.at - {NEIGHBOURS}, 0) + 1 AS INT), CAST(least(x.at, {NEIGHBOURS}) AS INT)), x.name) AS before,
+        concat_ws(' ', slice(_words, CAST(x.at + 2 AS INT), {NEIGHBOURS})) AS after))"""
     keys = F.when(text.contains("PRIVATE KEY-----"), F.regexp_extract_all(text, F.lit(f"({PEM})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
     blocks = F.transform(keys, lambda b: F.struct(F.lit(-1).cast("long").alias("at"), b.alias("candidate"), F.lit("").alias("before"), F.lit("").alias("after")))
     both = placed.withColumn("_near", F.concat(F.expr(near), blocks))
