@@ -35,7 +35,11 @@ TEST_PATHS = "test|spec|example|sample|fixture|mock|demo|docs?/"
 #: Known key formats (fixed values, as their issuers publish them), also where punctuation follows.
 FORMATS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*|glpat-[A-Za-z0-9_-]{20,})[.\-/+=]*$"
 CORE = r"([A-Za-z0-9_+/.\-]{16,}=*)"
-PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----"
+#: A key block, cut at its BEGIN mark: up to the END mark or, without one, headers and the key lines that follow. Line ends may be escaped.
+_HEAD = r"^[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_KEY_LINE = r"[A-Za-z0-9+/]{16,}|[A-Za-z+/]{0,15}[0-9+/=][A-Za-z0-9+/=]{0,15}(?![A-Za-z0-9+/=.,:;\-])"
+PEM = rf"{_HEAD}(?s:.*?)-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+PEM_OPEN = rf"{_HEAD}(?:(?:\\+[rn]|\s){{0,8}}(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID): ?[^\r\n\\]*){{0,8}}(?:\\+[rn]|\s){{1,8}}(?={_KEY_LINE})[A-Za-z0-9+/=\s\\]*?(?=\z|[^A-Za-z0-9+/=\s\\]|(?:\\+[rn]|\s)\s*+(?!\\+[rn]|{_KEY_LINE}))"
 FEATURES = ("f_length", "f_changes", "f_distinct", "f_digits", "f_hex", "f_upper", "f_dictionary", "f_format", "f_key_word", "f_calm_word", "f_test_path", "f_assigned")
 
 
@@ -130,7 +134,8 @@ def with_candidates(docs: DataFrame) -> DataFrame:
     near = rf"""transform(_hits, x -> struct(x.at AS at, x.candidate AS candidate,
         concat_ws(' ', slice(_words, CAST(greatest(x.at - {NEIGHBOURS}, 0) + 1 AS INT), CAST(least(x.at, {NEIGHBOURS}) AS INT)), x.name) AS before,
         concat_ws(' ', slice(_words, CAST(x.at + 2 AS INT), {NEIGHBOURS})) AS after))"""
-    keys = F.when(text.contains("PRIVATE KEY-----"), F.regexp_extract_all(text, F.lit(f"({PEM})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    pieces = F.transform(F.filter(F.split(text, "-----BEGIN ", -1), lambda p, i: i > 0), lambda p: F.coalesce(F.nullif(F.regexp_extract(p, PEM, 0), F.lit("")), F.regexp_extract(p, PEM_OPEN, 0)))
+    keys = F.when(text.contains("PRIVATE KEY"), F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.concat(F.lit("-----BEGIN "), p))).otherwise(F.array().cast("array<string>"))
     blocks = F.transform(keys, lambda b: F.struct(F.lit(-1).cast("long").alias("at"), b.alias("candidate"), F.lit("").alias("before"), F.lit("").alias("after")))
     both = placed.withColumn("_near", F.concat(F.expr(near), blocks))
     path = F.col("source").cast("string")
