@@ -5,8 +5,9 @@ that occur in that training text; the language that needs the fewest phrases for
 read whole, as lower-case letters with runs of anything else as one space, in windows of WINDOW characters that no
 phrase crosses, so that many windows step through the automata's transition table together.
 
-Training takes at most SAMPLE_CHARS characters of each language, from whole rows in the order of a hash of
-doc_id; both are parameters. Everything else covers all rows.
+Training takes at most SAMPLE_CHARS characters of each language, from rows in the order of a hash of doc_id; both
+are parameters. A row longer than that gives the tenth part of SAMPLE_CHARS from its middle, or SAMPLE_CHARS where
+the language has too little otherwise; further rows are drawn while a sample is not full. Everything else covers all rows.
 
 Defined cases: null text or text without a letter gives `und` with score 0; a letter that no training text
 has is a phrase of its own; ties go to the least language name; without training rows every text is `und`; an empty
@@ -191,19 +192,31 @@ def held_out(doc_id):
 
 
 def training_samples(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, sample_rows: int = SAMPLE_ROWS) -> dict[str, str]:
-    """Up to sample_chars normalised characters of each language from about sample_rows rows that are not held out."""
+    """Up to sample_chars normalised characters of each language from about sample_rows rows that are not held out, or more rows while they don't suffice."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("_rank", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(2**31)))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return {}
-    bound = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(int(min(1.0, sample_rows / n) * 2**31)))])
-    rows = known.where(F.col("_rank") <= bound[F.col("lang")]).select("lang", "text", "_rank", F.col("doc_id").cast("string").alias("_id")).where(F.length("text") <= sample_chars)
-    parts: dict[str, list[str]] = {}
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (r["_rank"], r["_id"] or "", r["text"])):
-        held = parts.setdefault(r["lang"], [])
-        if sum(map(len, held)) < sample_chars:
-            held.append(normalise(r["text"]))
-    return {lang: " ".join(p)[:sample_chars] for lang, p in parts.items()}
+    size = F.length("text")
+    middle = F.when(size <= sample_chars, F.col("text")).otherwise(F.substring(F.col("text"), F.floor((size - sample_chars) / 2).cast("int") + 1, F.lit(sample_chars)))
+    share, all_ranks = max(1, sample_chars // 10), 2**31
+    drawn: dict[str, list[tuple[str, str]]] = {lang: [] for lang in counts}  # for each row its share and all that was read of it
+    samples: dict[str, str] = {}
+    low, high = dict.fromkeys(counts, -1), {lang: int(min(1.0, sample_rows / n) * all_ranks) for lang, n in counts.items()}
+    while high:
+        bounds = [F.create_map(*[x for lang, to in sorted(ends.items()) for x in (F.lit(lang), F.lit(to))])[F.col("lang")] for ends in ({k: low[k] for k in high}, high)]
+        rows = known.where((F.col("_rank") > bounds[0]) & (F.col("_rank") <= bounds[1])).select("lang", middle.alias("text"), "_rank", F.col("doc_id").cast("string").alias("_id"), (size > sample_chars).alias("_long"))
+        for r in sorted(rows.toLocalIterator(), key=lambda r: (r["_rank"], r["_id"] or "", r["text"])):
+            held = drawn[r["lang"]]
+            if sum(len(part) for part, _ in held) < sample_chars:
+                start = (len(r["text"]) - share) // 2
+                whole = normalise(r["text"])
+                held.append((normalise(r["text"][start : start + share]) if r["_long"] else whole, whole))
+        for lang in high:
+            # Long rows give their shares while those suffice, then all that was read of them.
+            texts = [" ".join(parts) for parts in zip(*drawn[lang])] or [""]
+            samples[lang] = (texts[0] if len(texts[0]) >= sample_chars else texts[-1])[:sample_chars]
+        low |= high
+        high = {lang: min(all_ranks, 4 * to + 1) for lang, to in high.items() if len(samples[lang]) < sample_chars and to < all_ranks}
+    return {lang: text for lang, text in samples.items() if drawn[lang]}
 
 
 #: What annotate adds; the names are unlikely to be a table's own.

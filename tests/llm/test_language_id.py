@@ -60,3 +60,16 @@ def test_awkward_rows(awkward, clashing, empty):
     assert L.training_samples(empty) == {}
     kept = L.accepted(clashing, samples)
     assert kept.columns == clashing.columns and kept.where("doc_id IN (3, 4, 5)").count() == 0
+
+
+def test_samples_of_long_rows_and_of_many_short_rows(spark):
+    ones = [(k, "the cat sat on the mat and the dog ran " * 40, "en") for k in range(30)]
+    long = [(100 + k, "der hund und die katze sind im haus und garten " * 60, "de") for k in range(30)]
+    short = [(1000 + k, f"le chat {chr(97 + k % 26)}", "fr") for k in range(900)]
+    docs = spark.createDataFrame(ones + long + short, "doc_id long, text string, lang string")
+    samples = L.training_samples(docs, sample_chars=2000, sample_rows=10)
+    assert {k: len(v) for k, v in samples.items()} == {"en": 2000, "de": 2000, "fr": 2000}
+    one = L.training_samples(docs.where("lang = 'de' AND doc_id < 103"), sample_chars=2000)
+    assert one.keys() == {"de"} and len(one["de"]) == 2000
+    got = {r.doc_id: r.lang_pred for r in L.identify(docs.where("doc_id < 1000"), samples).collect()}
+    assert all(lang == ("en" if k < 100 else "de") for k, lang in got.items())
