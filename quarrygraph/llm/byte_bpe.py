@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read, small_batches, tidy
+from .common import partitions, read, tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK_BYTES = 32 << 20
@@ -230,15 +230,14 @@ def _id_lists(doc_ids: list[int | None], coded: list[bytes]) -> pa.RecordBatch:
 
 
 def _encoded(docs: DataFrame, vocabulary: str, block_bytes: int, finish, schema: str) -> DataFrame:
-    small_batches(docs.sparkSession, _BATCH_ROWS)
     dealt = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = rows.mapInArrow(tidy(_splitter(4 * dealt, block_bytes)), _PACKED)
     # Buckets of pre-tokens stay whole; texts go along, spread by block and part.
     by_word = packed.repartition(dealt, F.when(F.col("kind") == 0, F.col("part")).otherwise(F.xxhash64("block", "part"))).sortWithinPartitions("kind", "part", "block")
-    coded = by_word.mapInArrow(tidy(_bucket_encoder(vocabulary)), _PACKED)
+    coded = by_word.mapInArrow(tidy(_bucket_encoder(vocabulary), _BATCH_ROWS), _PACKED)
     by_block = coded.repartition(dealt, "block").sortWithinPartitions("block", "kind", "part")
-    return by_block.mapInArrow(tidy(_assembler(finish)), schema)
+    return by_block.mapInArrow(tidy(_assembler(finish), _BATCH_ROWS), schema)
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLOCK_BYTES) -> DataFrame:

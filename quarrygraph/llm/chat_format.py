@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read, small_batches, tidy
+from .common import partitions, read, tidy
 
 #: Strings that steer chat models; the first two mark this template's turns.
 CONTROL = ("<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>")
@@ -439,7 +439,6 @@ def _renderer(source: str):
 def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """(conv_id, seq, text, spans): the rendered text of every conversation as consecutive segments, with the loss mask's spans in each."""
     parse(template)
-    small_batches(turns.sparkSession)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(tidy(_renderer(template)), _SEGMENT)

@@ -21,10 +21,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset and Spark runs in one process (tests)."""
     ctx = spark.sparkContext
     known = ctx.getConf().get("spark.checkpoint.dir", None) or ctx.getCheckpointDir()
     if known is None:
+        if not ctx.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="quarrygraph-")
         ctx.setCheckpointDir(known)
     return known.rstrip("/")
@@ -39,23 +41,21 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def tidy(run):
-    """A function over batches that releases memory when its task ends."""
+def tidy(run, rows: int = BATCH_ROWS):
+    """A function over batches that gets at most so many rows at once, as slices without a copy, and releases memory when its task ends.
+
+    What reaches Python together is bounded in bytes by Spark itself (spark.sql.execution.arrow.maxBytesPerBatch); no setting of the session changes.
+    """
 
     def tidied(batches):
         try:
-            yield from run(batches)
+            yield from run(batch.slice(at, rows) for batch in batches for at in range(0, len(batch), rows))
         finally:
             release()
 
     return tidied
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Rows here hold whole texts, sets or packed blocks: so many at most go to Python at once, whatever the session's setting."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def durable(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import read, small_batches, tidy
+from .common import read, tidy
 
 SAMPLE_CHARS = 40_000
 SAMPLE_ROWS = 400
@@ -225,7 +225,6 @@ ADDED = "__lang_pred string, __score double, __phrase_rate double"
 
 def annotate(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """docs with __lang_pred, __score and __phrase_rate of their text; other columns pass through."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     place = docs.columns.index("text")
 

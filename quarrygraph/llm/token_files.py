@@ -24,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, read, shared_dir, small_batches, tidy
+from .common import partitions, read, shared_dir, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -122,7 +122,6 @@ def _writer(path: str, end_id: int):
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:
     """Write the ids of every row as ORC, in ascending order of doc_id across and within the files."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     coded = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(tidy(_writer(public_tokenizers.path(vocabulary), end_id)), "part int, doc_id long, before long, n_tokens long, ids array<int>")

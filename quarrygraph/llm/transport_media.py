@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, read, small_batches, tidy
+from .common import durable, read, tidy
 
 BLOCK = 192
 UNIT_BYTES = 4096
@@ -194,7 +194,6 @@ def _muxer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_table(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media, points): the stream of every row with the time stamps and packets of its random-access points."""
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_muxer), _SCHEMA)
 
 
