@@ -284,17 +284,20 @@ def _overlaps(percent: int):
     return run
 
 
-def zone_links(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """(u, v): links between queries and members (node, zone, top, n, bits) of their zone that join different components, by exact counts."""
+def zone_links(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links between queries and members (node, zone, top, n) of their zone that join different components, by exact counts.
+
+    A zone may be large, so its rows meet the zone's shape while they are narrow, and their sets by node.
+    """
     stats = members.groupBy("zone").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("chunks"))
     asked = queries.groupBy("zone").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("parts"))
     shape = stats.join(asked, "zone")
     place = lambda salt, many: F.pmod(F.xxhash64("node", F.lit(salt)), many)
-    each = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), many - 1))
-    body = ("node", "top", "bits")
-    first = members.join(shape, "zone").select("zone", place(5, F.col("chunks")).alias("chunk"), each(F.col("parts")).alias("part"), F.lit(0).alias("role"), *body)
-    second = queries.join(shape, "zone").select("zone", each(F.col("chunks")).alias("chunk"), place(6, F.col("parts")).alias("part"), F.lit(1).alias("role"), *body)
-    dealt = first.unionByName(second).repartition(partitions(members.sparkSession), "zone", "chunk", "part").sortWithinPartitions("zone", "chunk", "part", "role", "node")
+    each = lambda many: F.sequence(F.lit(0).cast("long"), many - 1)
+    first = members.join(shape, "zone").select("zone", F.array(place(5, F.col("chunks"))).alias("_chunks"), each(F.col("parts")).alias("_parts"), F.lit(0).alias("role"), "node", "top")
+    second = queries.join(shape, "zone").select("zone", each(F.col("chunks")).alias("_chunks"), F.array(place(6, F.col("parts"))).alias("_parts"), F.lit(1).alias("role"), "node", "top")
+    wide = first.unionByName(second).join(sets, "node").withColumn("chunk", F.explode("_chunks")).withColumn("part", F.explode("_parts"))
+    dealt = wide.select("zone", "chunk", "part", "role", "node", "top", "bits").repartition(partitions(members.sparkSession), "zone", "chunk", "part").sortWithinPartitions("zone", "chunk", "part", "role", "node")
     return dealt.mapInArrow(tidy(_overlaps(percent)), "u binary, v binary")
 
 
@@ -360,18 +363,18 @@ def components(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
     at = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     bt = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(at, "a", "left").join(bt, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    roots = _joined(roots, confirm(apart, sets, percent))
+    further = confirm(apart, sets, percent)
     if zoned is None:
-        return roots
-    members = durable(zoned.join(classes.select("node", "n"), "node").join(sets, "node"))
+        return _joined(roots, further)
+    members = durable(zoned.join(classes.select("node", "n"), "node"))
     sizes = members.groupBy("zone").agg(F.count(F.lit(1)).alias("_rows"))
-    hubs = members.join(sizes, "zone").where(F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("_rows") / HUBS)) == 0).drop("_rows")
-    roots = _joined(roots, zone_links(_topped(members, roots), _topped(hubs, roots), percent))
-    now = durable(_topped(members.select("node", "zone"), roots))
+    now = durable(_topped(members.join(sizes, "zone"), roots))
+    hubs = now.where(F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("_rows") / HUBS)) == 0)
+    roots = _joined(roots, further.unionByName(zone_links(now, hubs, sets, percent)))
+    now = durable(_topped(members, roots))
     largest = now.groupBy("zone", "top").agg(F.count(F.lit(1)).alias("_rows")).groupBy("zone").agg(F.max(F.struct("_rows", "top")).alias("m")).select("zone", F.col("m.top").alias("_main"))
-    outside = now.join(largest, "zone").where(F.col("top") != F.col("_main")).select("node")
-    whole = members.join(now.select("node", "top"), "node")
-    return _joined(roots, zone_links(whole, whole.join(outside, "node", "left_semi"), percent))
+    outside = now.join(largest, "zone").where(F.col("top") != F.col("_main")).select(*now.columns)
+    return _joined(roots, zone_links(now, outside, sets, percent))
 
 
 def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
