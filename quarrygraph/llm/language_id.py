@@ -1,17 +1,22 @@
 """Language identification by cross-parsing entropy.
 
-Every language has a suffix automaton of its labelled text. A text is parsed greedily into the longest phrases
-that occur in that training text; the language that needs the fewest phrases for each character wins. Texts are
-read whole, as lower-case letters with runs of anything else as one space, in windows of WINDOW characters that no
-phrase crosses, so that many windows step through the automata's transition table together.
+Every language has a suffix automaton of its labelled text. A text is parsed greedily, from its first to its last letter,
+into the longest phrases that occur in that training text. The phrases are normalised by the size of the training
+text (a phrase costs log2 of it) and by the letters of the text; the language that needs the fewest wins. Texts are read whole, as
+lower-case letters with runs of anything else as one space.
 
-Training takes at most SAMPLE_CHARS characters of each language, from rows in the order of a hash of doc_id; both
-are parameters. A row longer than that gives the tenth part of SAMPLE_CHARS from its middle, or SAMPLE_CHARS where
-the language has too little otherwise; further rows are drawn while a sample is not full. Everything else covers all rows.
+The parse runs over windows of WINDOW letters side by side, and is the parse of the whole text all the same: the phrase that
+a window begins inside of is carried over from the window before, until it and the window's own parse cut at one place.
+
+Training takes at most SAMPLE_CHARS characters of each language, from rows in the order of a hash of doc_id (about
+SAMPLE_ROWS rows at first); both are parameters. A row longer than that gives the tenth part of SAMPLE_CHARS from its middle, or
+SAMPLE_CHARS where the language has too little otherwise; further rows are drawn while a sample is not full. Everything
+else covers all rows.
 
 Defined cases: null text or text without a letter gives `und` with score 0; a letter that no training text
 has is a phrase of its own; ties go to the least language name; without training rows every text is `und`; an empty
-table gives an empty result; columns other than doc_id, text and lang are ignored, and lang only labels training rows.
+table gives an empty result; columns other than doc_id, text and lang are ignored or pass through, whatever their names,
+and lang only labels training rows.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ SAMPLE_ROWS = 400
 WINDOW = 512
 UND = "und"
 _LANES = 1 << 12
+#: Cells of a language's transition table up to which it is kept as a table.
+DENSE_CELLS = 1 << 24
 
 
 def _lower_letters() -> np.ndarray:
@@ -72,9 +79,12 @@ def normalise(text: str) -> str:
 
 
 class SuffixAutomaton:
-    """Suffix automaton over small integer symbols as a dense transition table; -1 is no transition."""
+    """Suffix automaton over small integer symbols; -1 is no transition.
+
+    Transitions are one table of states times symbols where that is small, else sorted keys state * alphabet + symbol.
+    """
 
-    def __init__(self, symbols: list[int], alphabet: int):
+    def __init__(self, symbols: list[int], alphabet: int, dense_cells: int = DENSE_CELLS):
         nexts, link, length, last = [{}], [-1], [0], 0
         for c in symbols:
             cur = len(nexts)
@@ -99,16 +109,31 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.table = np.full((len(nexts), alphabet), -1, np.int32)
-        for state, row in enumerate(nexts):
-            for c, to in row.items():
-                self.table[state, c] = to
+        self.alphabet = alphabet
+        keys = np.array([state * alphabet + c for state, row in enumerate(nexts) for c in sorted(row)], np.int64)
+        to = np.array([row[c] for row in nexts for c in sorted(row)], np.int32)
+        if len(nexts) * alphabet <= dense_cells:
+            self.flat = np.full(len(nexts) * alphabet, -1, np.int32)
+            self.flat[keys] = to
+            self.one = memoryview(self.flat).__getitem__
+            self.many = self.flat.__getitem__
+        else:
+            known = dict(zip(keys.tolist(), to.tolist()))
+            self.one = lambda key: known.get(key, -1)
+            self.many = lambda at: self._search(keys, to, at)
+
+    @staticmethod
+    def _search(keys: np.ndarray, to: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.full(len(at), -1, np.int32)
+        place = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+        return np.where(keys[place] == at, to[place], np.int32(-1))
 
 
 class CrossParser:
     """Phrase counts of texts against the training text of each language."""
 
-    def __init__(self, samples: dict[str, str]):
+    def __init__(self, samples: dict[str, str], dense_cells: int = DENSE_CELLS):
         self.langs = sorted(samples)
         letters = sorted({c for s in samples.values() for c in s} | {" "})
         self.alphabet = len(letters) + 1  # the last symbol stands for characters that no sample has
@@ -116,62 +141,98 @@ class CrossParser:
         for k, c in enumerate(letters):
             self.codes[ord(c)] = k
         at = {c: k for k, c in enumerate(letters)}
-        self.tables = [SuffixAutomaton([at[c] for c in samples[lang]], self.alphabet).table for lang in self.langs]
+        self.automata = [SuffixAutomaton([at[c] for c in samples[lang]], self.alphabet, dense_cells) for lang in self.langs]
+        self.weights = np.array([np.log2(max(len(samples[lang]), 2)) for lang in self.langs])
 
-    def _phrases(self, table: np.ndarray, grid: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases of each lane; grid has a row for each step, and lanes stand in order of falling size."""
-        flat, width = table.ravel(), self.alphabet
-        state, count = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    def _parse(self, automaton: SuffixAutomaton, grid: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases start, and the last state, of lanes that are each parsed on their own; lanes stand in order of falling size."""
+        width, many = self.alphabet, automaton.many
+        state, starts = np.zeros(len(sizes), np.int64), np.zeros(grid.shape, bool)
         alive = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")
         for step, m in enumerate(alive.tolist()):
-            c = grid[step, :m]
-            to = flat[state[:m] * width + c]
+            c, now = grid[step, :m], state[:m]
+            to = many(now * width + c)
             stuck = np.flatnonzero(to < 0)
+            starts[step, :m] = now == 0
             if len(stuck):
-                count[stuck] += state[stuck] > 0  # the phrase so far ends before this character
-                again = flat[c[stuck]]
-                lone = again < 0
-                count[stuck[lone]] += 1
-                again[lone] = 0
+                starts[step, stuck] = True
+                again = many(c[stuck])
+                again[again < 0] = 0
                 to[stuck] = again
             state[:m] = to
-        return count + (state > 0)
-
-    def rates(self, texts: list[str]) -> np.ndarray:
-        """Phrases for each character, a row for each text and a column for each language; NaN where a text has no letter."""
-        phrases = np.zeros((len(texts), len(self.langs)), np.int64)
+        return starts, state
+
+    def _carried(self, automaton: SuffixAutomaton, state: int, window: np.ndarray, starts: np.ndarray, total: int, last: int) -> tuple[int, int]:
+        """Phrases that start in a window, and its last state, where a phrase in `state` runs into it; starts, total and last are its own parse's."""
+        width, one, count, passed, known = self.alphabet, automaton.one, 0, 0, []
+        for place in range(len(window)):
+            if place == len(known):
+                known = window[: 2 * place + 32].tolist()
+            c, own = known[place], bool(starts[place])
+            to = one(state * width + c)
+            if state == 0 or to < 0:
+                if own:  # both parses cut here and go on alike
+                    return count + total - passed, last
+                count += 1
+                if to < 0:
+                    to = max(one(c), 0)
+            passed += own
+            state = to
+        return count, state
+
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of each text (row) and language (column), and each text's letters."""
+        found = np.zeros((len(texts), len(self.langs)), np.int64)
         marks, sizes = normalised(texts)
         whole = self.codes[marks]
         owner = np.repeat(np.arange(len(texts)), -(-sizes // WINDOW))
-        starts = np.concatenate([np.arange(0, n, WINDOW) for n in sizes.tolist()] or [np.empty(0, np.int64)]).astype(np.int64)
+        starts_at = np.concatenate([np.arange(0, n, WINDOW) for n in sizes.tolist()] or [np.empty(0, np.int64)]).astype(np.int64)
         base = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+        carry = [0] * len(self.langs)  # the state in which each language's parse leaves the window before
         for k in range(0, len(owner), _LANES):
-            who, start = owner[k : k + _LANES], starts[k : k + _LANES]
+            who, start = owner[k : k + _LANES], starts_at[k : k + _LANES]
             size = np.minimum(WINDOW, sizes[who] - start)
             order = np.argsort(-size, kind="stable")
-            who, start, size = who[order], start[order], size[order]
-            index = (base[who] + start)[None, :] + np.arange(int(size.max()))[:, None]
+            lane = np.argsort(order)
+            index = (base[who] + start)[order][None, :] + np.arange(int(size.max()))[:, None]
             grid = whole[np.minimum(index, len(whole) - 1, out=index)].astype(np.int32)
             del index
-            for j, table in enumerate(self.tables):
-                np.add.at(phrases[:, j], who, self._phrases(table, grid, size))
+            later = np.flatnonzero(start > 0).tolist()
+            for j, automaton in enumerate(self.automata):
+                starts, states = self._parse(automaton, grid, size[order])
+                totals, ends = starts.sum(0)[lane], states[lane].tolist()
+                before = {-1: carry[j]}
+                for w in later:
+                    state = before[-1] if w == 0 else ends[w - 1]
+                    if state:
+                        at, n = int(lane[w]), int(size[w])
+                        totals[w], ends[w] = self._carried(automaton, state, grid[:n, at], starts[:n, at], int(totals[w]), ends[w])
+                carry[j] = ends[-1]
+                np.add.at(found[:, j], who, totals)
+        return found, sizes
+
+    def rates(self, texts: list[str]) -> np.ndarray:
+        """Phrases for each letter; NaN where a text has no letter."""
+        found, sizes = self.phrases(texts)
         with np.errstate(invalid="ignore", divide="ignore"):
-            return np.where(sizes[:, None] > 0, phrases / sizes[:, None], np.nan)
+            return np.where(sizes[:, None] > 0, found / sizes[:, None], np.nan)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
-        """Language, score and phrases for each character; the score is 1 - rate / (rate + runner-up's rate), over 0.5 for a clear winner."""
-        rates = self.rates([t or "" for t in texts]) if self.langs else np.full((len(texts), 1), np.nan)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None], list[int]]:
+        """Language, score, its phrases for each letter, and letters; the score is 1 - cost / (cost + runner-up's cost), over 0.5 for a clear winner."""
+        known = [t or "" for t in texts]
+        rates = self.rates(known) if self.langs else np.full((len(texts), 1), np.nan)
         langs, scores, least = [], [], []
         for row in rates:
             if np.isnan(row[0]):
                 langs.append(UND), scores.append(0.0), least.append(None)
                 continue
-            order = np.argsort(row, kind="stable")
+            cost = row * self.weights
+            order = np.argsort(cost, kind="stable")
             langs.append(self.langs[order[0]])
-            second = row[order[1]] if len(row) > 1 else row[order[0]]
-            scores.append(float(second / (row[order[0]] + second)))
+            second = cost[order[1]] if len(row) > 1 else cost[order[0]]
+            scores.append(float(second / (cost[order[0]] + second)))
             least.append(float(row[order[0]]))
-        return langs, scores, least
+        return langs, scores, least, normalised(known)[1].tolist()
 
 
 _PARSERS: dict[int, CrossParser] = {}
@@ -219,44 +280,39 @@ def training_samples(docs: DataFrame, sample_chars: int = SAMPLE_CHARS, sample_r
     return {lang: text for lang, text in samples.items() if drawn[lang]}
 
 
-#: What annotate adds; the names are unlikely to be a table's own.
-ADDED = "__lang_pred string, __score double, __phrase_rate double"
-
-
 def annotate(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
-    """docs with __lang_pred, __score and __phrase_rate of their text; other columns pass through."""
+    """(row, lang_pred, score, phrase_rate, letters): every row of docs as one struct, so that no name can clash, and what its text says."""
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shared.value)
         for batch in batches:
-            langs, scores, rates = [], [], []
-            texts, size, start = batch.column(place), 0, 0
+            found: list[list] = [[], [], [], []]
+            texts, size, start = batch.column(0).flatten()[place], 0, 0
             for i in range(len(batch)):
                 size += len(texts[i].as_buffer()) if texts[i].is_valid else 0
                 if size > 2_000_000 or i == len(batch) - 1:
-                    a, b, c = parser.predict(texts.slice(start, i + 1 - start).to_pylist())
-                    langs += a
-                    scores += b
-                    rates += c
+                    for all_of, some in zip(found, parser.predict(texts.slice(start, i + 1 - start).to_pylist())):
+                        all_of += some
                     start, size = i + 1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=[*batch.schema.names, "__lang_pred", "__score", "__phrase_rate"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(found, (pa.string(), pa.float64(), pa.float64(), pa.int64()))]], names=["row", "lang_pred", "score", "phrase_rate", "letters"])
 
-    added = StructType.fromDDL(ADDED)
-    return docs.mapInArrow(tidy(run), StructType(docs.schema.fields + added.fields))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    added = StructType.fromDDL("lang_pred string, score double, phrase_rate double, letters long")
+    return rows.mapInArrow(tidy(run), StructType(rows.schema.fields + added.fields))
 
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, phrase_rate) of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return annotate(rows, samples).select("doc_id", "held_out", F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"), F.col("__phrase_rate").alias("phrase_rate"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return annotate(rows, samples).select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "phrase_rate")
 
 
-def accepted(docs: DataFrame, samples: dict[str, str], max_rate: float = 0.5, min_chars: int = 200) -> DataFrame:
-    """The rows whose text is in a known language: it has a letter and, from min_chars characters on, no more than max_rate phrases for each letter."""
-    good = (F.col("__lang_pred") != UND) & ((F.length("text") < min_chars) | (F.col("__phrase_rate") <= max_rate))
-    return annotate(docs, samples).where(good).select(*docs.columns)
+def accepted(docs: DataFrame, samples: dict[str, str], max_rate: float = 0.5) -> DataFrame:
+    """The rows whose text is in a known language: it has a letter, and its phrases but for the last, which ends with the text, are no more than max_rate for each letter."""
+    good = (F.col("lang_pred") != UND) & (F.col("phrase_rate") * F.col("letters") - 1 <= max_rate * F.col("letters"))
+    return annotate(docs, samples).where(good).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

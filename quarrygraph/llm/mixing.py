@@ -8,7 +8,7 @@ hash is the first 60 bits of md5 of doc_id and text, so reruns take the same row
 
 Defined cases: null text has size 0; a null source is a source of its own, after all others; repeated rows have one
 hash and are taken alike; a source whose rows are all empty has target 0; an empty table gives an empty result;
-columns other than doc_id, text and source don't matter.
+columns other than doc_id, text and source pass through `mixed`, whatever their names.
 """
 
 from __future__ import annotations
@@ -95,9 +95,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The mix itself: each row as often as it is taken."""
     _, bounds = plan(docs, weights, share_percent, max_repeats)
-    hashed = docs.withColumn("_key", _key()).withColumn("_hash", row_hash())
-    taken = hashed.join(bounds.select("_key", "_whole", "edge"), "_key").withColumn("_copies", _copies())
-    return taken.where(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key().alias("_key"), row_hash().alias("_hash"))
+    taken = rows.join(bounds.select("_key", "_whole", "edge"), "_key").select("row", _copies().alias("copies")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

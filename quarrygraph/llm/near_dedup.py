@@ -402,15 +402,15 @@ def unique(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Rows are told apart by all of their columns, so different texts under one doc_id, or without one, are judged each on its own; of rows
     that are equal in every column one stays. Rows without shingles are linked with nothing; equal ones count as one.
     """
-    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    keyed = docs.withColumn("__row_a", F.xxhash64(whole, F.lit(1))).withColumn("__row_b", F.xxhash64(whole, F.lit(2)))
-    marked, grouped = _grouped(keyed.select("doc_id", "text", "__row_a", "__row_b"), k, percent)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.xxhash64(F.to_json(row), F.lit(1)).alias("__row_a"), F.xxhash64(F.to_json(row), F.lit(2)).alias("__row_b"))
+    marked, grouped = _grouped(keyed.select("row.doc_id", "row.text", "__row_a", "__row_b"), k, percent)
     ranked = marked.select("node", F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), "__row_a", "__row_b").alias("m"))
     of_class = durable(ranked.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("m").alias("m")))
     firsts = of_class.join(grouped.select(F.col("of").alias("node"), "root"), "node").groupBy("root").agg(F.min("m").alias("m")).select("m.__row_a", "m.__row_b")
     bare = ranked.where(F.col("node").isNull()).select("m.__row_a", "m.__row_b")
     kept = durable(firsts.unionByName(bare).distinct())
-    return keyed.join(kept, ["__row_a", "__row_b"], "left_semi").dropDuplicates(["__row_a", "__row_b"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(kept, ["__row_a", "__row_b"], "left_semi").dropDuplicates(["__row_a", "__row_b"]).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,6 @@ def clashing(awkward):
     """The same rows with further columns whose names the operators use themselves."""
     from pyspark.sql import functions as F
 
-    for name in ("n", "node", "mark", "size", "ids", "score", "path", "kind", "url", "lang_pred", "media", "copies", "block", "h"):
+    for name in ("n", "node", "mark", "size", "ids", "score", "path", "kind", "url", "lang_pred", "media", "copies", "block", "h", "row", "_row", "_key", "_hash", "_copies", "_copy", "edge", "_whole", "_words", "_hits", "_near", "_found", "_secrets", "__lang_pred", "__row_a", "__row_b", "_kept"):
         awkward = awkward.withColumn(name, F.lit("x"))
     return awkward

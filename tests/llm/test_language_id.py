@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from quarrygraph.llm import language_id as L
 
 WORDS = {"xx": ["foo", "bar", "bazooka", "quux", "lorem"], "yy": ["ñandu", "über", "gärten", "weiß", "öl"], "zz": ["kata", "hira", "gana", "moji", "sensei"]}
@@ -12,25 +14,32 @@ def text(lang, rnd, n):
 
 
 def naive(said, sample):
-    count = 0
-    for start in range(0, len(said), L.WINDOW):
-        window, i = said[start : start + L.WINDOW], 0
-        while i < len(window):
-            j = i + 1
-            while j <= len(window) and window[i:j] in sample:
-                j += 1
-            i, count = max(i + 1, j - 1), count + 1
+    count = i = 0
+    while i < len(said):
+        j = i + 1
+        while j <= len(said) and said[i:j] in sample:
+            j += 1
+        i, count = max(i + 1, j - 1), count + 1
     return count / len(said)
 
 
-def test_phrases_as_a_naive_parse_finds_them():
+@pytest.mark.parametrize("cells", [L.DENSE_CELLS, 0])
+def test_phrases_as_a_naive_parse_of_the_whole_text_finds_them(monkeypatch, cells):
     rnd = random.Random(1)
     samples = {lang: L.normalise(text(lang, rnd, 200)) for lang in WORDS}
-    parser = L.CrossParser(samples)
-    tried = [text(rnd.choice("xx yy zz".split()), rnd, rnd.randint(1, 300)) for _ in range(40)] + ["东京 foo!", "x"]
-    rates = parser.rates(tried)
-    for row, said in zip(rates, tried):
-        assert [round(x, 9) for x in row] == [round(naive(L.normalise(said), samples[lang]), 9) for lang in parser.langs]
+    parser = L.CrossParser(samples, cells)
+    tried = [text(rnd.choice("xx yy zz".split()), rnd, rnd.randint(1, 300)) for _ in range(40)] + ["东京 foo!", "x", samples["xx"] * 3, "东京" * 700]
+    for window, lanes in ((512, 4096), (7, 4096), (16, 5), (1, 3)):
+        monkeypatch.setattr(L, "WINDOW", window)
+        monkeypatch.setattr(L, "_LANES", lanes)
+        for row, said in zip(parser.rates(tried), tried):
+            assert [round(x, 9) for x in row] == [round(naive(L.normalise(said), samples[lang]), 9) for lang in parser.langs]
+
+
+def test_a_language_with_less_training_text_is_no_worse_off():
+    rnd = random.Random(4)
+    samples = {"xx": L.normalise(text("xx", rnd, 4000)), "yy": L.normalise(text("yy", rnd, 60))}
+    assert L.CrossParser(samples).predict([text("yy", rnd, 30), text("xx", rnd, 30)])[0] == ["yy", "xx"]
 
 
 def test_normal_form():
