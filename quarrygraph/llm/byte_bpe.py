@@ -5,8 +5,8 @@ order of their first place, so that the block's positions become a sequence of s
 pre-tokens of all blocks are dealt out by hash, each bucket encodes a pre-token once, and the ids go back to
 the blocks, where every text is put together by position. Rows are packed: one row holds a block's
 pre-tokens of one bucket, or the position sequences of many texts, compressed. Tasks stream over sorted
-rows and hold one block's or one bucket's distinct pre-tokens. Decoding joins ids with the token-byte table,
-which has a row for each id of the vocabulary.
+rows and hold one block's distinct pre-tokens, or a bounded number of a bucket's. Decoding joins ids with the token-byte table,
+which has a row for each id of the vocabulary; digests of decoded bytes look the same table up where ids are put together.
 
 Block and bucket numbers come from one evaluation of the source, whose rows pass the first shuffle together with the
 pre-tokens, so a lost executor changes nothing.
@@ -32,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, read, tidy
+from .common import durable, partitions, read, tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK_BYTES = 32 << 20
 _PARCEL_TOKENS = 200_000
 _LEVEL = 9
+#: Distinct pre-tokens of a bucket that are remembered together.
+_KNOWN_WORDS = 500_000
 #: Packed rows have up to some hundred kilobytes each.
 _BATCH_ROWS = 64
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
@@ -188,6 +190,8 @@ def _bucket_encoder(vocabulary: str):
                     for word in _unpack(body):
                         ids = known.get(word)
                         if ids is None:
+                            if len(known) > _KNOWN_WORDS:  # those that come again are encoded again
+                                known.clear()
                             ids = known[word] = np.array(single(word), "<u4").tobytes()
                         found.append(ids)
                     body = _pack(found)
@@ -236,7 +240,9 @@ def _encoded(docs: DataFrame, vocabulary: str, block_bytes: int, finish, schema:
     # Buckets of pre-tokens stay whole; texts go along, spread by block and part.
     by_word = packed.repartition(dealt, F.when(F.col("kind") == 0, F.col("part")).otherwise(F.xxhash64("block", "part"))).sortWithinPartitions("kind", "part", "block")
     coded = by_word.mapInArrow(tidy(_bucket_encoder(vocabulary), _BATCH_ROWS), _PACKED)
-    by_block = coded.repartition(dealt, "block").sortWithinPartitions("block", "kind", "part")
+    # Blocks are dealt out by turns, not by hash, so that they come one to a task while there are tasks.
+    place = F.pmod(F.shiftright("block", 32) + 31 * F.col("block").bitwiseAND((1 << 32) - 1), F.lit(dealt)).cast("int")
+    by_block = coded.repartitionById(dealt, place).sortWithinPartitions("block", "kind", "part")
     return by_block.mapInArrow(tidy(_assembler(finish), _BATCH_ROWS), schema)
 
 
@@ -245,19 +251,18 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BLO
     return _encoded(docs, vocabulary, block_bytes, _id_lists, "doc_id long, ids array<int>")
 
 
-def _decoder(vocabulary: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(vocabulary)
-        for batch in batches:
-            texts = [None if not ids.is_valid else b"".join(map(table.__getitem__, ids.as_py())) for ids in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "raw"])
-
-    return run
+def token_table(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(id, token): the token-byte table; it has a row for each id of the vocabulary, which bounds its size."""
+    return spark.createDataFrame([(k, bytearray(token)) for token, k in ranks(vocabulary).items()], "id int, token binary")
 
 
 def decode(coded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, raw): the bytes of every row's ids, by the token-byte table of the vocabulary."""
-    return coded.select("doc_id", "ids").mapInArrow(tidy(_decoder(vocabulary)), "doc_id long, raw binary")
+    """(doc_id, raw): the bytes of every row's ids, joined from the token-byte table; null ids give null, an id that the table lacks no bytes."""
+    rows = durable(coded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "ids"))
+    placed = rows.select("row", F.posexplode("ids").alias("place", "id"))
+    named = placed.join(F.broadcast(token_table(coded.sparkSession, vocabulary)), "id").select("row", F.struct("place", F.hex("token").alias("hex")).alias("x"))
+    whole = named.groupBy("row").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["hex"]), "")).alias("found"))
+    return rows.join(whole, "row", "left").select("doc_id", F.when(F.col("ids").isNotNull(), F.coalesce("found", F.lit(b""))).alias("raw"))
 
 
 def _digester(vocabulary: str):

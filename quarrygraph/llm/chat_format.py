@@ -235,16 +235,21 @@ def _value(tree: tuple) -> Callable[[dict], object]:
 def parse(source: str) -> list[tuple]:
     """The template's syntax tree: ('text', s), ('show', e), ('set', n, e), ('if', [(e, body)], other), ('for', n, e, body), ('gen', body)."""
     parts, at = [], 0
+    trim = False  # a minus inside a mark takes the white space on its side away
     for m in _PARTS.finditer(source):
-        if m.start() > at:
-            parts.append(("text", source[at : m.start()]))
+        said = source[at : m.start()]
+        said = said.lstrip() if trim else said
+        said = said.rstrip() if m[0][2] == "-" else said
+        trim = m[0][-3] == "-"
+        if said:
+            parts.append(("text", said))
         if m[1] is not None:
             parts.append(("show", fold(_Expression(m[1]).whole())))
         elif m[2] is not None:
             parts.append(("tag", *(m[2].strip().split(None, 1) + [""])[:2]))
         at = m.end()
-    if at < len(source):
-        parts.append(("text", source[at:]))
+    if said := source[at:].lstrip() if trim else source[at:]:
+        parts.append(("text", said))
     place = 0
 
     def body(*ends: str) -> tuple[list[tuple], tuple]:
@@ -479,7 +484,7 @@ class _Reader:
 
 def _digester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-    reader, conv = None, None
+    reader, conv, last = None, None, -1
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in _DIGEST.split(", ")])
@@ -491,6 +496,9 @@ def _digester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if reader is not None:
                     done.append((conv, *reader.row()))
                 reader, conv = _Reader(), own
+            elif reader is None or own != conv or seq != last + 1:
+                raise ValueError(f"segment {seq} of conversation {own} isn't after its predecessor")
+            last = seq
             reader.feed(text, spans)
         if done:
             yield batch_of(done)
@@ -498,13 +506,16 @@ def _digester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of([(conv, *reader.row())])
 
 
-def read_back(segments: DataFrame) -> DataFrame:
-    """One row for each conversation, from its segments in their order of writing."""
-    return segments.select("conv_id", "seq", "text", "spans").mapInArrow(tidy(_digester), _DIGEST)
+def read_back(segments: DataFrame, as_written: bool = False) -> DataFrame:
+    """One row for each conversation. Segments are brought into order first, unless they come straight from the writer (as_written); out of order they raise."""
+    rows = segments.select("conv_id", "seq", "text", "spans")
+    if not as_written:
+        rows = rows.repartition(partitions(segments.sparkSession), "conv_id").sortWithinPartitions("conv_id", "seq")
+    return rows.mapInArrow(tidy(_digester), _DIGEST)
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
-    return read_back(format_conversations(turns.unionByName(added)))
+    return read_back(format_conversations(turns.unionByName(added)), as_written=True)

@@ -205,10 +205,14 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for n, media, points in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
             stream = media.as_py()
-            payload, found = demux(stream)
+            try:
+                payload, found = demux(stream)
+                if [p["packet"] for p in points] != found["points"]:
+                    raise ValueError("the random-access points differ from the stream")
+            except (ValueError, IndexError) as error:
+                rows.append((None, None, None, len(stream), hashlib.sha256(stream).hexdigest(), f"damaged: {error}"))
+                continue
             stamps = found["stamps"]
-            if [p["packet"] for p in points] != found["points"]:
-                raise ValueError("the random-access points differ from the stream")
             feature = f"packets={found['packets']};units={len(stamps)};points={len(points)};pts={stamps[0]}-{stamps[-1]};distinct_bytes={len(set(payload))};spaces={payload.count(32)}"
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), feature))
         cols = list(zip(*rows)) or [()] * 6
@@ -216,7 +220,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def features(media: DataFrame) -> DataFrame:
-    """What reading every stream back gives: sizes, digests and a feature string."""
+    """What reading every stream back gives: sizes, digests and a feature string; a damaged stream has null payload values and says so in its feature."""
     return media.select("doc_id", "n_bytes", "media", "points").mapInArrow(tidy(_reader), _FEATURES)
 
 

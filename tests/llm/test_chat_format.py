@@ -21,6 +21,7 @@ def test_language():
     assert [m for _, m in C.compile_template("a{% generation %}b{% endgeneration %}c")({})] == [False, True, False]
     assert C.parse("{{ 'a' ~ 'b' }}{% if 1 == 1 %}c{% endif %}{% if false %}d{% endif %}e") == [("text", "abce")]
     assert render("{% for x in xs %}{{ x }}{% endfor %}", xs=iter("abc")) == "abc"
+    assert render("a \n{%- if x -%}\n b \n{{- y -}} \n c{#- gone -#} d\n{%- endif %} e", x=1, y="Y") == "ab Y cd e".replace("b Y c", "bYc")
 
 
 @pytest.mark.parametrize("bad", ["{{ f() }}", "{{ x.__class__ }}", "{{ _x }}", "{{ x | nope }}", "{% for x in %}{% endfor %}", "{% if x %}", "{% import os %}", "{{ 1 + }}", "{{ 'a' * 99 }}", "{{ $ }}", "{{ 'a' + 1 }}"])
@@ -50,3 +51,17 @@ def test_tables(spark):
     assert out[1].turns_sha256 == hashlib.sha256(b"user\na\nassistant\nb\n").hexdigest() and out[4].loss_chars == 600_000
     assert out[2].turns_sha256 == hashlib.sha256(b"\n\n").hexdigest() and out[3].loss_chars == 2
     assert C.read_back(C.format_conversations(turns.limit(0))).count() == 0
+
+
+def test_stored_segments_are_read_in_any_order(spark, monkeypatch):
+    monkeypatch.setattr(C, "_SEGMENT_CHARS", 40)
+    turns = [(c, t, r, f"text {c} {t} " * 9) for c in range(9) for t, r in enumerate(("user", "assistant", "user"))]
+    segments = C.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    rows = segments.collect()
+    random.Random(3).shuffle(rows)
+    want = sorted(map(tuple, C.read_back(segments, as_written=True).collect()))
+    again = spark.createDataFrame(rows, segments.schema).repartition(3)
+    assert sorted(map(tuple, C.read_back(again).collect())) == want and len(want) == 9
+    batch = pa.RecordBatch.from_pydict({"conv_id": [1, 2], "seq": [0, 1], "text": ["", ""], "spans": [[], []]})
+    with pytest.raises(ValueError):
+        list(C._digester(iter([batch])))

@@ -1,6 +1,8 @@
 """Transport streams: exact round trips and damage."""
 
+import hashlib
 import os
+import zlib
 
 import pytest
 
@@ -34,3 +36,19 @@ def test_awkward_rows(awkward, clashing, empty):
     same = {(r.media_sha256, r.feature) for r in out if r.doc_id in (1, 2)}
     assert len(same) == 1
     assert M.features(M.media_table(clashing)).count() == len(out) and M.features(M.media_table(empty)).count() == 0
+
+
+def test_digests_recomputed_and_damage_in_a_row(spark, awkward):
+    from pyspark.sql import functions as F
+
+    media = M.media_table(awkward.where("doc_id IS NOT NULL"))
+    stored = {r.doc_id: bytes(r.media) for r in media.collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in awkward.collect()}
+    for r in M.features(media).collect():
+        text = texts[r.doc_id]
+        payload = text + b" " * ((-len(text)) % 192 or (0 if text else 192))
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest())
+    broken = media.where("doc_id IN (1, 6)").withColumn("media", F.when(F.col("doc_id") == 1, F.lit(b"\0" * 188)).otherwise(F.col("media")))
+    out = {r.doc_id: r for r in M.features(broken).collect()}
+    assert out[1].payload_sha256 is None and out[1].feature.startswith("damaged") and out[6].payload_bytes == 192
