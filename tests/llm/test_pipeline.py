@@ -21,6 +21,28 @@ def rows():
     return out
 
 
+def test_awkward_rows_in_every_stage(spark, awkward, clashing, empty, tmp_path):
+    clashing.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in P.STAGES[:-1]:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        seen = sorted(((r.doc_id, (r.text or "")[:9]) for r in out.collect()), key=str)
+        if name == "near_dedup":
+            assert len(seen) == 12 and len(set(seen)) == 12
+        if name == "secret_scan":
+            assert len(seen) == awkward.count() and all(r.h == "x" for r in out.collect())
+    assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() == awkward.count()
+    assert {r.doc_id for r in P.run(spark, str(tmp_path)).collect()} <= {1, 2, 6, 7, 8, 9, 10, 11, None}
+
+
+def test_different_texts_under_one_id_stay(spark):
+    texts = [f"{who} walks along the quiet road {where} today" for who, where in (("the old dog", "to a market"), ("one red fox", "into our wood"), ("my grey cat", "past the mill"))]
+    docs = spark.createDataFrame([(1, texts[0], "en", "a", 1), (1, texts[1], "en", "a", 1), (None, texts[2], "en", "a", 1), (1, texts[0], "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.text for r in P.remove_near_duplicates(spark, docs, "").collect()) == sorted(texts)
+
+
 def test_stages(spark, tmp_path):
     table = rows()
     spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
