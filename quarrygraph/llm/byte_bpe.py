@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import durable, partitions, read, tidy
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 28 << 20
 _PARCEL_TOKENS = 200_000
 _LEVEL = 9
 #: Distinct pre-tokens of a bucket that are remembered together.

@@ -44,7 +44,7 @@ DEPTHS = (5, 10, 20, 40, 80)
 REGION = 32
 #: About so many hubs of each zone are held against all of it; a block has so many shingles of members and so many queries.
 HUBS = 12
-BLOCK_SHINGLES = 1 << 19
+BLOCK_SHINGLES = 1 << 17
 BLOCK_QUERIES = 2000
 #: Candidates whose signatures agree on less than the threshold minus this are not confirmed: four standard errors.
 SLACK = 0.125
