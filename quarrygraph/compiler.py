@@ -58,18 +58,17 @@ def compile_once(spark: SparkSession, store: Store, repo_id: str, repo_slug: str
         run = store.next_version()
         try:
             state, changes, edge_changes, _ = compile_state(spark, store, repo_id, repo_slug, artifacts, scope, more)
-            everyone, all_edges = store.read("entities"), store.read("edges")
-            others, other_edges = everyone.where(F.col("repo_id") != repo_id), all_edges.where(F.col("repo_id") != repo_id)
-            ours, our_edges = everyone.where(F.col("repo_id") == repo_id), all_edges.where(F.col("repo_id") == repo_id)
+            ours, our_edges = (store.read(name).where(F.col("repo_id") == repo_id) for name in ("entities", "edges"))
             proof = state.evidence.select("repo_id", "slug", F.map_concat(F.create_map(F.lit("rule"), "rule"), F.transform_values("signals", lambda k, v: v.cast("string"))).alias("evidence"))
             deltas = changes.join(proof, ["repo_id", "slug"], "left").withColumn("compile_run_id", F.lit(run))
             deltas = deltas.withColumn("evidence", F.when((F.col("op") == "removed") | F.col("evidence").isNull(), F.create_map().cast("map<string,string>")).otherwise(F.col("evidence")))
             alive = changes.where("op <> 'removed'").select("repo_id", "slug")
             store.commit(
                 run,
+                repo_id,
                 {
-                    "entities": diff.upsert(ours, state.entities, changes, run).unionByName(others.select(*ours.columns)),
-                    "edges": diff.apply_edges(our_edges, edge_changes).unionByName(other_edges),
+                    "entities": diff.upsert(ours, state.entities, changes, run),
+                    "edges": diff.apply_edges(our_edges, edge_changes),
                     "deltas": deltas,
                     "edge_deltas": edge_changes.withColumn("compile_run_id", F.lit(run)),
                     "provenance": state.provenance.join(alive, ["repo_id", "slug"], "left_semi").withColumn("compile_run_id", F.lit(run)),
@@ -78,7 +77,7 @@ def compile_once(spark: SparkSession, store: Store, repo_id: str, repo_slug: str
             )
         except Exception as error:
             if run not in store.versions():
-                store.commit(run, {"runs": _run_row(spark, repo_id, run, unit, "failed", str(error)[:2000])})
+                store.commit(run, repo_id, {"runs": _run_row(spark, repo_id, run, unit, "failed", str(error)[:2000])})
             raise
     return run
 

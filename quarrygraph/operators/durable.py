@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset (tests)."""
+    """spark.checkpoint.dir; a local folder only where that is unset and Spark runs in one process (tests)."""
     ctx = spark.sparkContext
     known = ctx.getConf().get("spark.checkpoint.dir", None) or ctx.getCheckpointDir()
     if known is None:
+        if not ctx.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="quarrygraph-")
         ctx.setCheckpointDir(known)
     return known.rstrip("/")

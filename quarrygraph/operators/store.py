@@ -1,13 +1,19 @@
-"""A snapshot store: every compile writes one versioned folder, and one small manifest names the version that readers see.
+"""A snapshot store: every compile writes one versioned folder of its own repository, and one small marker makes it visible.
 
-State, deltas and the ledger row of a run are in the same version, so that they appear together or not at all.
-All file access goes through Hadoop's file system API, so a store may be anywhere Spark can write.
+A version number is claimed by creating a file that must not exist, so two compiles never share one. State tables hold one
+repository's rows; readers take each repository's last version that has state, so repositories never overwrite each other, and
+a compile writes only its own rows. State, deltas and the ledger row of a run are in the same version, so that they appear together or not at
+all. All file access goes through Hadoop's file system API, so a store may be anywhere Spark can write.
 """
 
 from __future__ import annotations
 
-import uuid
+import contextlib
+import time
+import urllib.parse
+import zlib
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,53 +37,79 @@ class Store:
     def _exists(self, name: str) -> bool:
         return self._fs.exists(self._jpath(f"{self.path}/{name}"))
 
-    def versions(self) -> list[int]:
-        """Committed versions, oldest first: the markers under _committed."""
+    def _markers(self) -> list[tuple[int, bool, str]]:
+        """(version, has state, repository) of the committed versions, oldest first: the markers under _committed."""
         if not self._exists("_committed"):
             return []
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(self._jpath(f"{self.path}/_committed")) if s.getPath().getName().isdigit())
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._jpath(f"{self.path}/_committed"))]
+        parts = [n.split("_", 2) for n in names if n[0].isdigit()]
+        return sorted((int(v), kind == "s", urllib.parse.unquote(repo)) for v, kind, repo in parts)
+
+    def versions(self) -> list[int]:
+        return [v for v, _, _ in self._markers()]
 
     def read(self, table: str) -> DataFrame:
-        """State tables as of the last version, logs of all versions."""
-        done = self.versions()
+        """State tables as of each repository's last version, logs of all versions."""
         ddl = {**STATE, **LOGS}[table]
-        if not done:
-            return self.spark.createDataFrame([], ddl)
+        done = self._markers()
         if table in STATE:
-            return self.spark.read.schema(ddl).parquet(f"{self.path}/v={done[-1]}/{table}")
-        return self.spark.read.schema(ddl).parquet(*[f"{self.path}/v={v}/{table}" for v in done])
+            wanted = sorted({repo: v for v, state, repo in done if state}.values())
+        else:
+            wanted = [v for v, _, _ in done]
+        if not wanted:
+            return self.spark.createDataFrame([], ddl)
+        return self.spark.read.schema(ddl).parquet(*[f"{self.path}/v={v}/{table}" for v in wanted])
+
+    def _create(self, name: str) -> bool:
+        """True if this call made the file; on every file system creation without overwriting fails where it exists."""
+        try:
+            self._fs.create(self._jpath(f"{self.path}/{name}"), False).close()
+            return True
+        except Py4JJavaError:
+            if self._exists(name):
+                return False
+            raise
 
     def next_version(self) -> int:
-        return (self.versions() or [0])[-1] + 1
-
-    def commit(self, version: int, tables: dict[str, DataFrame]) -> None:
-        """Write all tables of a version, then its marker by one rename. Tables that are not given are carried over (state) or empty (logs)."""
-        root = f"{self.path}/v={version}"
+        """A number that no other compile has or gets."""
+        self._fs.mkdirs(self._jpath(f"{self.path}/_claimed"))
+        taken = [int(s.getPath().getName()) for s in self._fs.listStatus(self._jpath(f"{self.path}/_claimed")) if s.getPath().getName().isdigit()]
+        version = max([0, *taken, *self.versions()]) + 1
+        while not self._create(f"_claimed/{version}"):
+            version += 1
+        return version
+
+    def commit(self, version: int, repo_id: str, tables: dict[str, DataFrame]) -> None:
+        """Write the tables of a repository's version, then its marker. State tables come together or not at all (then the last state stays); logs that are not given are empty."""
         if version in self.versions():
             raise ValueError(f"version {version} is committed already")
+        state = [name for name in STATE if name in tables]
+        if state and len(state) < len(STATE):
+            raise ValueError("a version has all state tables or none")
+        root = f"{self.path}/v={version}"
         self._fs.delete(self._jpath(root), True)
-        for name, ddl in {**STATE, **LOGS}.items():
+        for name, ddl in {**({k: STATE[k] for k in state}), **LOGS}.items():
             frame = tables.get(name)
-            if frame is None:
-                frame = self.read(name) if name in STATE else self.spark.createDataFrame([], ddl)
+            frame = self.spark.createDataFrame([], ddl) if frame is None else frame
             wanted = self.spark.createDataFrame([], ddl).schema
             frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted]).write.mode("overwrite").parquet(f"{root}/{name}")
-        part = self._jpath(f"{self.path}/_{uuid.uuid4().hex}")
-        self._fs.create(part).close()
         self._fs.mkdirs(self._jpath(f"{self.path}/_committed"))
-        if not self._fs.rename(part, self._jpath(f"{self.path}/_committed/{version}")):
+        if not self._create(f"_committed/{version}_{'s' if state else 'l'}_{urllib.parse.quote(repo_id, safe='')}"):
             raise RuntimeError("the version could not be committed")
 
-    def lock(self, repo_slug: str):
-        """A lock on a repository for as long as the context lasts."""
-        import contextlib
-        import zlib
+    def lock(self, repo_slug: str, lease_seconds: int = 6 * 3600):
+        """A lock on a repository for as long as the context lasts; one whose holder died is free again after the lease."""
 
         @contextlib.contextmanager
         def held():
-            mark = self._jpath(f"{self.path}/_lock-{zlib.crc32(repo_slug.encode())}")
-            if not self._fs.createNewFile(mark):
-                raise LockedError(repo_slug)
+            name = f"_lock-{zlib.crc32(repo_slug.encode())}"
+            mark = self._jpath(f"{self.path}/{name}")
+            if not self._create(name):
+                if not self._exists(name) or time.time() - self._fs.getFileStatus(mark).getModificationTime() / 1000 < lease_seconds:
+                    raise LockedError(repo_slug)
+                self._fs.delete(mark, False)
+                if not self._create(name):
+                    raise LockedError(repo_slug)
             try:
                 yield
             finally:

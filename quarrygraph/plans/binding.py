@@ -1,7 +1,7 @@
 """The knowledge graph of the driver's tables: how each table stands for artifacts of a repository.
 
-Regions, nations, suppliers and parts are components with dotted paths; orders are tests that cover their parts; customers are
-journeys over the parts they ordered; line items import parts into suppliers; part types, market segments and event types are
+Regions, nations, suppliers and parts are components with dotted paths; orders are tests that cover their parts; a customer's months
+are journeys over the parts ordered then; line items import parts into suppliers; part types, market segments and event types are
 features, business rules and risks; pages are HTTP routes; days of events are compile runs.
 """
 
@@ -10,14 +10,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrygraph import schemas
 from quarrygraph.functions import scalars as S
 from quarrygraph.operators.durable import durable
 
 REPO = "trade"
-JOURNEY_STEPS = 3
 
 
 @dataclass
@@ -114,13 +114,37 @@ class Bound:
 
     @cached_property
     def steps(self) -> DataFrame:
-        """(repo_id, journey, pos, step): the first parts, by order date and keys, that a customer ordered, each once."""
+        """(repo_id, journey, pos, step): every part that a customer ordered in a month, by order date and keys, each once."""
         orders = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
         bought = self.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(orders, "l_orderkey")
-        first = bought.groupBy("o_custkey", "p_partkey").agg(F.min(F.struct("o_orderdate", "l_orderkey", "p_partkey")).alias("at"))
-        listed = first.groupBy("o_custkey").agg(F.slice(F.array_sort(F.collect_list("at")), 1, JOURNEY_STEPS).alias("steps"))
-        placed = listed.select("o_custkey", F.posexplode("steps").alias("pos", "s")).select("o_custkey", "pos", F.col("s.p_partkey").alias("p_partkey")).join(self.part_paths.select("p_partkey", "path"), "p_partkey")
-        return placed.select(F.lit(REPO).alias("repo_id"), F.concat(F.lit("user-journey/c"), F.col("o_custkey").cast("string")).alias("journey"), "pos", S.entity_slug(F.lit("component"), F.col("path")).alias("step"))
+        month = F.date_format("o_orderdate", "yyyy-MM").alias("month")
+        first = bought.groupBy("o_custkey", month, "p_partkey").agg(F.min("o_orderdate").alias("day"), F.min_by("l_orderkey", F.struct("o_orderdate", "l_orderkey")).alias("l_orderkey"))
+        placed = first.withColumn("pos", F.row_number().over(Window.partitionBy("o_custkey", "month").orderBy("day", "l_orderkey", "p_partkey")) - 1).join(self.part_paths.select("p_partkey", "path"), "p_partkey")
+        name = F.concat(F.lit("user-journey/c"), F.col("o_custkey").cast("string"), F.lit("-"), F.col("month"))
+        return placed.select(F.lit(REPO).alias("repo_id"), name.alias("journey"), "pos", S.entity_slug(F.lit("component"), F.col("path")).alias("step"))
+
+    def facts(self, rows: DataFrame, fact_type: str, payload) -> DataFrame:
+        """Facts of a type from rows and a payload struct."""
+        text = F.to_json(payload)
+        return rows.select(F.lit(REPO).alias("repo_id"), F.lit(fact_type).alias("fact_type"), text.alias("payload"), F.array().cast("array<string>").alias("artifact_refs"), F.lit("bound").alias("extractor"), F.sha2(text, 256).alias("content_hash"), F.array().cast(f"array<{schemas.ANCHOR}>").alias("anchors"))
+
+    @cached_property
+    def component_facts(self) -> DataFrame:
+        """Every path as an observed component with one function, and its imports."""
+        comps = self.components.select("path", "kind", F.element_at("files", 1).alias("file"))
+        seen = self.facts(comps, "component_observed", F.struct("path", "kind", F.lit("python").alias("language"), "file"))
+        symbols = self.facts(comps, "symbol_observed", F.struct(F.concat("path", F.lit(".run")).alias("symbol_path"), F.lit("function").alias("kind")))
+        deps = self.facts(self.imports, "dependency_observed", F.struct("from_path", F.col("name").alias("to_path")))
+        return seen.unionByName(symbols).unionByName(deps)
+
+    @cached_property
+    def test_facts(self) -> DataFrame:
+        """Every order as a file with one test, whose targets are the order's parts."""
+        file = lambda key: F.concat(F.lit("tests/test_o"), key.cast("string"), F.lit(".py"))
+        orders = self.table("orders").select(file(F.col("o_orderkey")).alias("file"))
+        cases = self.facts(orders, "test_case_observed", F.struct(F.concat("file", F.lit("::test_it")).alias("node_id"), F.lit("pytest").alias("framework"), "file", F.col("file").alias("module")))
+        parts = self.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("p_partkey")).join(self.part_paths.select("p_partkey", "path"), "p_partkey").select(file(F.col("l_orderkey")).alias("test_module"), F.col("path").alias("target_path")).distinct()
+        return cases.unionByName(self.facts(parts, "test_target_observed", F.struct("test_module", "target_path")))
 
     @cached_property
     def runs(self) -> DataFrame:

@@ -42,8 +42,8 @@ CTES = {
     "depends": "SELECT DISTINCT 'component/' || replace(from_path, '.', '-') AS from_slug, 'component/' || replace(path, '.', '-') AS to_slug FROM imports JOIN resolved USING (name) WHERE from_path <> path",
     "links": "SELECT DISTINCT 'implemented_by' AS relation_type, 'feature/' || trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '-') AS from_slug, 'component/part-brand' || substr(p_brand, 7, 9) AS to_slug FROM part UNION ALL SELECT DISTINCT 'governs', 'business-rule/' || lower(c_mktsegment), 'component/' || replace(path, '.', '-') FROM customer JOIN nations ON n_nationkey = c_nationkey UNION ALL SELECT DISTINCT 'affects', 'risk/' || event_type, 'component/r' || (user_id % 5) FROM events",
     "contains": "SELECT coalesce(p.slug, 'project/trade') AS from_slug, c.slug AS to_slug FROM components c LEFT JOIN components p ON p.path = regexp_replace(c.path, '\\.[^.]*$', '') AND p.path <> c.path",
-    "bought": "SELECT o_custkey, l_partkey, min({'d': o_orderdate, 'o': l_orderkey, 'p': l_partkey}) AS first_at FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2",
-    "steps": "SELECT 'user-journey/c' || o_custkey AS journey, (k - 1)::INT AS pos, 'component/' || replace(path, '.', '-') AS step FROM (SELECT o_custkey, l_partkey, row_number() OVER (PARTITION BY o_custkey ORDER BY first_at) AS k FROM bought) JOIN parts ON p_partkey = l_partkey WHERE k <= 3",
+    "bought": "SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS m, l_partkey, min({'d': o_orderdate, 'o': l_orderkey, 'p': l_partkey}) AS first_at FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2, 3",
+    "steps": "SELECT 'user-journey/c' || o_custkey || '-' || m AS journey, (k - 1)::INT AS pos, 'component/' || replace(path, '.', '-') AS step FROM (SELECT o_custkey, m, l_partkey, row_number() OVER (PARTITION BY o_custkey, m ORDER BY first_at) AS k FROM bought) JOIN parts ON p_partkey = l_partkey",
     "state": "SELECT c.slug, count(t.slug) AS n_tests, count(t.slug) > 0 AS covered, coalesce(max(t.last_run) < min(c.last_run), false) AS stale, min(c.kill_rate) AS mutation_kill_rate, count(t.slug) > 0 AND coalesce(min(c.kill_rate) <= 0.4, false) AS low_mutation_kill FROM components c LEFT JOIN covers v ON v.slug = c.slug LEFT JOIN tests t ON t.slug = v.test GROUP BY c.slug",
     "needed": "SELECT DISTINCT journey, step AS slug FROM steps",
     "size": "SELECT journey, count(*) AS n_components FROM needed GROUP BY 1",
@@ -105,10 +105,49 @@ def _routes(b: Bound) -> DataFrame:
     return b.table("pages").select("page_id", F.regexp_replace(path, "/[0-9]+", "/{id}").alias("raw")).withColumn("route", S.normalize_route(F.col("raw")))
 
 
-@query("SELECT 'api/' || CASE WHEN s = '' THEN 'unnamed' ELSE s END AS slug, 'GET' AS method, route, n_pages, raw_routes FROM (SELECT route, count(*) AS n_pages, array_to_string(list_sort(list(DISTINCT raw)), '|') AS raw_routes, trim(regexp_replace(lower('GET ' || route), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM routes GROUP BY route)")
+@query("SELECT 'api/' || CASE WHEN s = '' THEN 'unnamed' ELSE s END AS slug, 'GET ' || route AS name, route, n_pages, raw_routes FROM (SELECT route, count(*) AS n_pages, array_to_string(list_sort(list(DISTINCT raw)), '|') AS raw_routes, trim(regexp_replace(lower('GET ' || route), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM routes GROUP BY route)")
 def api_aggregate_routes(b: Bound) -> DataFrame:
-    grouped = _routes(b).groupBy("route").agg(F.count(F.lit(1)).alias("n_pages"), F.array_join(F.array_sort(F.collect_set("raw")), "|").alias("raw_routes"))
-    return grouped.select(S.entity_slug(F.lit("api"), F.concat(F.lit("GET "), F.col("route"))).alias("slug"), F.lit("GET").alias("method"), "route", "n_pages", "raw_routes")
+    """Pages as endpoint facts, one handler each, merged by method and normalised route."""
+    seen = b.facts(_routes(b), "api_endpoint_observed", F.struct(F.lit("GET").alias("method"), F.col("raw").alias("route"), F.concat(F.lit("h"), F.col("page_id").cast("string")).alias("handler"), F.lit("pages").alias("source"), F.lit("pages.py").alias("file")))
+    field = lambda name: F.from_json(F.get_json_object("payload", f"$.{name}"), "array<string>")
+    return N.apis(seen).select("slug", "name", F.get_json_object("payload", "$.route").alias("route"), F.size(field("handlers")).cast("long").alias("n_pages"), F.array_join(field("raw_routes"), "|").alias("raw_routes"))
+
+
+@query("SELECT 'component/' || replace(p.path, '.', '-') AS slug, p.path AS name, kind, 1 AS n_symbols, coalesce(i.n, 0) AS n_internal, coalesce(e.n, 0) AS n_external, kill_rate FROM components p LEFT JOIN (SELECT from_path AS path, count(DISTINCT name) AS n FROM imports WHERE name IN (SELECT name FROM resolved) GROUP BY 1) i ON i.path = p.path LEFT JOIN (SELECT from_path AS path, count(DISTINCT name) AS n FROM imports WHERE name NOT IN (SELECT name FROM resolved) GROUP BY 1) e ON e.path = p.path")
+def component_entities(b: Bound) -> DataFrame:
+    """Components from observed files, symbols, imports and mutation scores: imports split into internal and external ones."""
+    scores = b.kill_rates.join(b.part_paths, "p_partkey").select(F.lit(REPO).alias("repo_id"), F.col("path").alias("module"), *[F.col(c).cast("int").alias(c) for c in ("killed", "survived", "timeout", "total")])
+    none = b.spark.createDataFrame([], "repo_id string, path string")
+    made = N.components(durable(b.component_facts), none, scores)
+    listed = lambda name, kind: F.size(F.from_json(F.get_json_object("payload", f"$.{name}"), kind)).cast("long")
+    return made.select("slug", "name", F.get_json_object("payload", "$.kind").alias("kind"), listed("symbols", "array<struct<symbol_path:string>>").cast("int").alias("n_symbols"), listed("internal_dependencies", "array<string>").alias("n_internal"), listed("external_dependencies", "array<string>").alias("n_external"), F.get_json_object("payload", "$.mutation_kill_rate").cast("double").alias("kill_rate"))
+
+
+@query("SELECT 'test-coverage/tests-test-o' || o_orderkey || '-py-test-it' AS slug, 'tests/test_o' || o_orderkey || '.py::test_it' AS name, count(DISTINCT path) AS n_targets, min(path) AS first_target FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN parts ON p_partkey = l_partkey GROUP BY o_orderkey")
+def test_coverage_entities(b: Bound) -> DataFrame:
+    """Tests from observed cases and targets."""
+    targets = F.from_json(F.get_json_object("payload", "$.targets"), "array<string>")
+    return N.test_coverage(b.test_facts).select("slug", "name", F.size(targets).cast("long").alias("n_targets"), F.get(targets, 0).alias("first_target"))
+
+
+@query("SELECT relation_type, count(*) AS n, min(from_slug) AS first_from, max(to_slug) AS last_to FROM (SELECT 'depends_on' AS relation_type, from_slug, to_slug FROM depends UNION ALL SELECT 'contains', from_slug, to_slug FROM contains UNION ALL SELECT 'covers', test, slug FROM covers) GROUP BY 1")
+def normalized_relationships(b: Bound) -> DataFrame:
+    """Edges that normalisation derives from the entities of observed components and tests."""
+    none = b.spark.createDataFrame([], "repo_id string, path string, slug string")
+    made = N.components(durable(b.component_facts), none.drop("slug")).unionByName(N.test_coverage(b.test_facts))
+    project = b.spark.createDataFrame([(REPO, f"project/{REPO}", "project", REPO, "{}")], "repo_id string, slug string, entity_type string, name string, payload string")
+    entities = durable(made.unionByName(project, allowMissingColumns=True))
+    return N.relationships(entities, none).groupBy("relation_type").agg(F.count(F.lit(1)).alias("n"), F.min("from_slug").alias("first_from"), F.max("to_slug").alias("last_to"))
+
+
+@query("SELECT slug, n_steps, first_step FROM (SELECT journey AS slug, count(*) AS n_steps, min(step) FILTER (pos = 0) AS first_step FROM steps GROUP BY 1)")
+def user_journey_entities(b: Bound) -> DataFrame:
+    """Journeys from declared steps, in their order; a step that is no entity is dropped with a warning."""
+    listed = b.steps.groupBy("journey").agg(F.array_sort(F.collect_list(F.struct("pos", "step"))).alias("s")).select(F.regexp_replace("journey", "^user-journey/", "").alias("name"), F.concat(F.transform("s", lambda x: x["step"]), F.array(F.lit("component/unknown"))).alias("steps"))
+    seen = b.facts(listed, "user_journey_observed", F.struct("name", "steps"))
+    made, _ = N.journeys(seen, b.components.select("repo_id", "slug"))
+    steps = F.from_json(F.get_json_object("payload", "$.steps"), "array<string>")
+    return made.select("slug", F.size(steps).cast("long").alias("n_steps"), F.get(steps, 0).alias("first_step"))
 
 
 def _resolved(b: Bound) -> DataFrame:
@@ -322,10 +361,12 @@ def _units(b: Bound) -> DataFrame:
     return events.select(F.lit(REPO).alias("repo_id"), F.when(F.col("event_type") == "purchase", "pr").otherwise("commit").alias("kind"), F.col("event_id").cast("string").alias("key"), "ts", F.concat(F.lit("sha"), (F.col("event_id") % 997).cast("string")).alias("sha"))
 
 
-@query("SELECT max(ts) AS watermark FROM units WHERE event_id % 5 = 0 AND kind = 'pr'")
+@query("SELECT max(ts) AS watermark FROM units WHERE hour(ts) < 18")
 def unified_watermark(b: Bound) -> DataFrame:
-    done = _units(b).where((F.col("key").cast("long") % 5 == 0) & (F.col("kind") == "pr"))
-    ledger = done.select("repo_id", F.lit("succeeded").alias("status"), F.lit(None).cast("timestamp").alias("commit_timestamp"), F.col("ts").alias("merged_at"))
+    """Changes after 18 o'clock belong to runs that failed, which don't move the watermark."""
+    status = F.when(F.hour("ts") < 18, "succeeded").otherwise("failed")
+    pr = F.col("kind") == "pr"
+    ledger = _units(b).select("repo_id", status.alias("status"), F.when(~pr, F.col("ts")).alias("commit_timestamp"), F.when(pr, F.col("ts")).alias("merged_at"))
     return T.watermark(ledger).select("watermark")
 
 
@@ -412,14 +453,18 @@ def verify_evidence_histogram(b: Bound) -> DataFrame:
     return b.table("events").groupBy(F.col("event_type").alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_signal"))
 
 
-@query("SELECT c_custkey, n_claimed, n_citable, n_met, CASE WHEN n_claimed = 0 THEN 0.0 ELSE round((n_met / n_claimed + n_met / n_citable) / 2 * 100, 1) END AS score FROM (SELECT o_custkey AS c_custkey, count(DISTINCT l_partkey) FILTER (l_linenumber <= 3) AS n_claimed, count(DISTINCT l_partkey) FILTER (l_linenumber >= 2) AS n_citable, count(DISTINCT CASE WHEN l_linenumber BETWEEN 2 AND 3 THEN l_partkey END) AS n_met FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = o_custkey % 10 GROUP BY 1) WHERE n_citable > 0")
+@query("SELECT c_custkey, n_nonexistent, n_claimed - coalesce(n_met, 0) - n_nonexistent AS n_extraneous, n_citable - coalesce(n_met, 0) AS n_missing, round(CASE WHEN n_claimed = 0 THEN 0 ELSE coalesce(n_met, 0) / n_claimed END, 6) AS precision, round(CASE WHEN n_citable = 0 THEN 1 ELSE coalesce(n_met, 0) / n_citable END, 6) AS recall, n_claimed > 0 AS header_found FROM (SELECT o_custkey AS c_custkey, count(DISTINCT l_partkey) FILTER (l_linenumber <= 3) AS n_claimed, count(DISTINCT l_partkey) FILTER (l_linenumber <= 3 AND p_size = 13) AS n_nonexistent, count(DISTINCT CASE WHEN l_linenumber >= 2 AND p_size <> 13 THEN l_partkey END) AS n_citable FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1) LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS n_met FROM (SELECT o_custkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2 HAVING bool_or(l_linenumber <= 3) AND bool_or(l_linenumber >= 2) AND min(p_size) <> 13) GROUP BY 1) USING (c_custkey)")
 def header_score_sets(b: Bound) -> DataFrame:
-    """Precision and recall of claims against citable targets, as sets of each customer's parts (claims in lines 1-3, citable from line 2, met in both)."""
-    rows = b.table("lineitem").join(b.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").where(F.col("l_orderkey") % 10 == F.col("o_custkey") % 10)
-    n, part = F.col("l_linenumber"), F.col("l_partkey")
-    sets = rows.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.countDistinct(F.when(n <= 3, part)).alias("n_claimed"), F.countDistinct(F.when(n >= 2, part)).alias("n_citable"), F.countDistinct(F.when(n.between(2, 3), part)).alias("n_met")).where("n_citable > 0")
-    score = F.when(F.col("n_claimed") == 0, F.lit(0.0)).otherwise(F.round((F.col("n_met") / F.col("n_claimed") + F.col("n_met") / F.col("n_citable")) / 2 * 100, 1))
-    return sets.withColumn("score", score)
+    """Claims of each customer (parts of lines 1 to 3) scored against what may be cited (parts from line 2 on); parts of size 13 are no entities."""
+    from quarrygraph.operators import validate as V
+
+    rows = b.table("lineitem").join(b.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(b.part_paths.select(F.col("p_partkey").alias("l_partkey"), "path", "p_size"), "l_partkey")
+    lines = rows.select(F.lit(REPO).alias("repo_id"), F.col("o_custkey").cast("string").alias("slug"), S.entity_slug(F.lit("component"), F.col("path")).alias("part"), "l_linenumber", "p_size")
+    claimed = lines.where("l_linenumber <= 3").groupBy("repo_id", "slug").agg(F.collect_set("part").alias("claims")).withColumn("test_file", F.concat(F.lit("tests/c"), "slug"))
+    plan = lines.where("l_linenumber >= 2 AND p_size <> 13").select("repo_id", "slug", F.lit("symbols").alias("target_kind"), F.col("part").alias("component"), F.lit(None).cast("string").alias("target"))
+    known = b.part_paths.where("p_size <> 13").select(F.lit(REPO).alias("repo_id"), S.entity_slug(F.lit("component"), F.col("path")).alias("slug"))
+    count = lambda c: F.size(c).cast("long").alias(f"n_{c}")
+    return V.score(claimed, plan, known).select(F.col("slug").cast("long").alias("c_custkey"), count("nonexistent"), count("extraneous"), count("missing"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "header_found")
 
 
 @query("SELECT slug, name, sha256(payload) AS content_hash FROM (SELECT 'pull-request/' || o_orderkey AS slug, 'KC-' || (o_orderkey % 50) || ' ' || o_orderpriority AS name, '{\"body\":null,\"files\":[],\"linked_issue_keys\":[\"KC-' || (o_orderkey % 50) || '\"],\"merge_commit_sha\":\"s' || o_orderkey || '\",\"merged_at\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') || '\",\"number\":' || o_orderkey || ',\"title\":\"KC-' || (o_orderkey % 50) || ' ' || o_orderpriority || '\"}' AS payload FROM orders)")

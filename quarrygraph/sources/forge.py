@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 import json
 import os
 import urllib.error
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 from quarrygraph import schemas
 
-PAGE, PAGES = 100, 10
+PAGE = 100
+#: Kinds of change of the service by the graph's names (fixed values of the service).
+CHANGES = {"added": "added", "modified": "modified", "removed": "removed", "renamed": "renamed", "copied": "added", "changed": "modified"}
 
 
 def _time(text: str) -> datetime.datetime:
@@ -43,27 +46,32 @@ class RestForge:
                 raise LookupError(f"{path} was not found: does {self.repo} exist, and may the token read it?") from error
             raise
 
+    def pages(self, path: str, key: str | None = None):
+        """Every item of a listing, page by page until one is not full; what the service itself cuts short raises when it says so."""
+        joint = "&" if "?" in path else "?"
+        for page in itertools.count(1):
+            answer = self.get(f"{path}{joint}per_page={PAGE}&page={page}")
+            listed = answer if key is None else answer.get(key, [])
+            yield from listed
+            if len(listed) < PAGE:
+                return
+
     def merged_prs(self, spark: SparkSession, branch: str, since: datetime.datetime | None) -> DataFrame:
         rows = []
-        for page in range(1, PAGES + 1):
-            listed = self.get(f"repos/{self.repo}/pulls?state=closed&base={branch}&sort=updated&direction=desc&per_page={PAGE}&page={page}")
-            for pr in listed:
-                if pr.get("merged_at") and (since is None or _time(pr["merged_at"]) > since):
-                    files = [(f["filename"], f["status"], f.get("previous_filename")) for f in self.get(f"repos/{self.repo}/pulls/{pr['number']}/files?per_page={PAGE}")]
-                    rows.append((pr["number"], pr.get("title"), pr.get("body"), _time(pr["merged_at"]), pr.get("merge_commit_sha"), files))
-            if len(listed) < PAGE:
-                break
+        for pr in self.pages(f"repos/{self.repo}/pulls?state=closed&base={branch}&sort=updated&direction=desc"):
+            if since is not None and pr.get("updated_at") and _time(pr["updated_at"]) <= since:
+                break  # the rest was last touched before, so it was merged before
+            if pr.get("merged_at") and (since is None or _time(pr["merged_at"]) > since):
+                files = [(f["filename"], CHANGES.get(f["status"], f["status"]), f.get("previous_filename")) for f in self.pages(f"repos/{self.repo}/pulls/{pr['number']}/files")]
+                rows.append((pr["number"], pr.get("title"), pr.get("body"), _time(pr["merged_at"]), pr.get("merge_commit_sha"), files))
         return spark.createDataFrame(sorted(rows, key=lambda r: (r[3], r[0])), schemas.MERGED_PRS)
 
     def commits(self, spark: SparkSession, branch: str, since: datetime.datetime | None) -> DataFrame:
         rows, after = [], f"&since={since.isoformat()}Z" if since else ""
-        for page in range(1, PAGES + 1):
-            listed = self.get(f"repos/{self.repo}/commits?sha={branch}&per_page={PAGE}&page={page}{after}")
-            for c in listed:
-                whole = self.get(f"repos/{self.repo}/commits/{c['sha']}")
-                rows.append((c["sha"], _time(whole["commit"]["committer"]["date"]), whole["commit"]["message"], [f["filename"] for f in whole.get("files", []) if f["status"] != "removed"]))
-            if len(listed) < PAGE:
-                break
+        for c in self.pages(f"repos/{self.repo}/commits?sha={branch}{after}"):
+            first = self.get(f"repos/{self.repo}/commits/{c['sha']}")
+            files = self.pages(f"repos/{self.repo}/commits/{c['sha']}", "files") if len(first.get("files", [])) >= PAGE else first.get("files", [])
+            rows.append((c["sha"], _time(first["commit"]["committer"]["date"]), first["commit"]["message"], [f["filename"] for f in files if f["status"] != "removed"]))
         return spark.createDataFrame(sorted(rows, key=lambda r: (r[1], r[0])), schemas.COMMITS)
 
 

@@ -104,3 +104,34 @@ def test_candidates_and_failure(spark, store):
         compiler.compile_once(spark, store, "r", "bill", broken)
     assert store.read("runs").where("status = 'failed'").count() == 1 and len(store.versions()) == before + 1
     assert store.read("entities").where("slug = 'business-rule/limit'").count() == 1
+
+
+def test_two_repositories_at_once(spark, store):
+    """Both claim their numbers and read the state before either commits; neither loses the other's rows."""
+    first, second = store.next_version(), store.next_version()
+    assert first != second
+
+    def state(repo):
+        one = spark.createDataFrame([(repo, f"component/{repo}", "component", repo)], "repo_id string, slug string, entity_type string, name string")
+        wanted = spark.createDataFrame([], schemas.ENTITIES).schema
+        none = spark.createDataFrame([], schemas.EDGES)
+        return {"entities": one.select(*[F.col(f.name) if f.name in one.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted]), "edges": none}
+
+    store.commit(second, "b", state("b"))
+    store.commit(first, "a", state("a"))
+    assert {r.slug for r in store.read("entities").collect()} == {"component/a", "component/b"}
+    store.commit(store.next_version(), "a", {})  # a failed run leaves the state
+    assert store.read("entities").count() == 2
+    with pytest.raises(ValueError):
+        store.commit(first, "a", state("a"))
+
+
+def test_a_lock_outlives_its_lease(store):
+    with store.lock("r"), pytest.raises(LockedError), store.lock("r"):
+        pass
+    held = store.lock("r")
+    held.__enter__()
+    with pytest.raises(LockedError), store.lock("r"):
+        pass
+    with store.lock("r", lease_seconds=-1):
+        pass
