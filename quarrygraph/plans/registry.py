@@ -453,14 +453,15 @@ def verify_evidence_histogram(b: Bound) -> DataFrame:
     return b.table("events").groupBy(F.col("event_type").alias("rule")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_signal"))
 
 
-@query("SELECT c_custkey, n_nonexistent, n_claimed - coalesce(n_met, 0) - n_nonexistent AS n_extraneous, n_citable - coalesce(n_met, 0) AS n_missing, round(CASE WHEN n_claimed = 0 THEN 0 ELSE coalesce(n_met, 0) / n_claimed END, 6) AS precision, round(CASE WHEN n_citable = 0 THEN 1 ELSE coalesce(n_met, 0) / n_citable END, 6) AS recall, n_claimed > 0 AS header_found FROM (SELECT o_custkey AS c_custkey, count(DISTINCT l_partkey) FILTER (l_linenumber <= 3) AS n_claimed, count(DISTINCT l_partkey) FILTER (l_linenumber <= 3 AND p_size = 13) AS n_nonexistent, count(DISTINCT CASE WHEN l_linenumber >= 2 AND p_size <> 13 THEN l_partkey END) AS n_citable FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1) LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS n_met FROM (SELECT o_custkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2 HAVING bool_or(l_linenumber <= 3) AND bool_or(l_linenumber >= 2) AND min(p_size) <> 13) GROUP BY 1) USING (c_custkey)")
+@query("SELECT c_custkey, n_nonexistent, n_claimed - coalesce(n_met, 0) - n_nonexistent AS n_extraneous, n_citable - coalesce(n_met, 0) AS n_missing, round(CASE WHEN n_claimed = 0 THEN 0 ELSE coalesce(n_met, 0) / n_claimed END, 6) AS precision, round(CASE WHEN n_claimed = 0 THEN 0 WHEN n_citable = 0 THEN 1 ELSE coalesce(n_met, 0) / n_citable END, 6) AS recall, n_claimed > 0 AS header_found FROM (SELECT o_custkey AS c_custkey, count(DISTINCT l_partkey) FILTER (l_linenumber <= 3) AS n_claimed, count(DISTINCT l_partkey) FILTER (l_linenumber <= 3 AND p_size = 13) AS n_nonexistent, count(DISTINCT CASE WHEN l_linenumber >= 2 AND p_size <> 13 THEN l_partkey END) AS n_citable FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1) LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS n_met FROM (SELECT o_custkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2 HAVING bool_or(l_linenumber <= 3) AND bool_or(l_linenumber >= 2) AND min(p_size) <> 13) GROUP BY 1) USING (c_custkey)")
 def header_score_sets(b: Bound) -> DataFrame:
-    """Claims of each customer (parts of lines 1 to 3) scored against what may be cited (parts from line 2 on); parts of size 13 are no entities."""
+    """Claims of each customer (parts of lines 1 to 3) scored against what may be cited (parts from line 2 on); parts of size 13 are no entities; a customer without claims has no header."""
     from quarrygraph.operators import validate as V
 
     rows = b.table("lineitem").join(b.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").join(b.part_paths.select(F.col("p_partkey").alias("l_partkey"), "path", "p_size"), "l_partkey")
     lines = rows.select(F.lit(REPO).alias("repo_id"), F.col("o_custkey").cast("string").alias("slug"), S.entity_slug(F.lit("component"), F.col("path")).alias("part"), "l_linenumber", "p_size")
-    claimed = lines.where("l_linenumber <= 3").groupBy("repo_id", "slug").agg(F.collect_set("part").alias("claims")).withColumn("test_file", F.concat(F.lit("tests/c"), "slug"))
+    told = F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("part")))
+    claimed = lines.groupBy("repo_id", "slug").agg(F.when(F.size(told) > 0, told).alias("claims")).withColumn("test_file", F.concat(F.lit("tests/c"), "slug"))
     plan = lines.where("l_linenumber >= 2 AND p_size <> 13").select("repo_id", "slug", F.lit("symbols").alias("target_kind"), F.col("part").alias("component"), F.lit(None).cast("string").alias("target"))
     known = b.part_paths.where("p_size <> 13").select(F.lit(REPO).alias("repo_id"), S.entity_slug(F.lit("component"), F.col("path")).alias("slug"))
     count = lambda c: F.size(c).cast("long").alias(f"n_{c}")
