@@ -79,6 +79,19 @@ def kill_rate(killed: Column, total: Column) -> Column:
     return F.round(killed / F.nullif(total, F.lit(0)), 4)
 
 
+def module_name(path: Column) -> Column:
+    """Dotted module of a code file: its extension goes, and a package's own file (__init__, index) stands for its folder."""
+    bare = F.regexp_replace(path, r"\.(py|tsx?|jsx?|mjs|cjs)$", "")
+    own = F.when(path.endswith(".py"), F.lit("__init__")).otherwise(F.lit("index"))
+    steps = F.filter(F.split(bare, "/"), lambda p: p != "")
+    return F.array_join(F.when(F.try_element_at(steps, F.lit(-1)) == own, F.slice(steps, F.lit(1), F.size(steps) - 1)).otherwise(steps), ".")
+
+
+def holds_tests(path: Column) -> Column:
+    """True for the file names of tests in the language of the file."""
+    return F.when(path.endswith(".py"), is_test_file(path)).otherwise(F.regexp_like(path, F.lit(r"\.(test|spec)\.[^/]*$")))
+
+
 def is_test_file(path: Column) -> Column:
     """test_*.py or *_test.py by base name."""
     base = F.element_at(F.split(path, "/"), -1)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrygraph.functions import scalars as S
+
 from . import javascript, python
 
 ANCHOR = "struct<file_path:string,symbol_path:string,span:struct<lo:int,hi:int>>"
@@ -30,15 +32,15 @@ def fact(repo_id: str, fact_type: str, payload: dict, refs: list[str], extractor
 def _analyse(batches: Iterator[pd.DataFrame], configs: list[tuple]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for repo_id, ref, content in zip(*(batch.iloc[:, k] for k in range(3))):  # by place: the optimizer may rename columns
+        for repo_id, ref, module, test, content in zip(*(batch.iloc[:, k] for k in range(5))):  # by place: the optimizer may rename columns
             if content is None:
                 continue
             if ref.endswith(".py"):
-                found, name = python.analyse(ref, content), "python-analyzer"
+                found, name = python.analyse(ref, module, test, content), "python-analyzer"
             elif ref.endswith(javascript.TS_EXTENSIONS):
-                found, name = javascript.analyse(ref, content, configs.get(repo_id, [])), "typescript-analyzer"
+                found, name = javascript.analyse(ref, module, test, content, configs.get(repo_id, [])), "typescript-analyzer"
             elif ref.endswith(javascript.JS_EXTENSIONS):
-                found, name = javascript.analyse(ref, content, None), "javascript-analyzer"
+                found, name = javascript.analyse(ref, module, test, content, None), "javascript-analyzer"
             else:
                 continue
             rows += [fact(repo_id, kind, payload, [ref], name, anchors) for kind, payload, anchors in found]
@@ -51,5 +53,5 @@ def extract_facts(artifacts: DataFrame) -> DataFrame:
     for row in artifacts.where(F.regexp_like("source_ref", F.lit(r"(^|/)tsconfig\.json$"))).select("repo_id", "source_ref", "content").toLocalIterator():
         if parsed := javascript.aliases(row["source_ref"], row["content"]):
             configs.setdefault(row["repo_id"], []).append(parsed)
-    code = artifacts.where(F.regexp_like("source_ref", F.lit(r"\.(py|tsx?|jsx?|mjs|cjs)$"))).select("repo_id", "source_ref", "content")
+    code = artifacts.where(F.regexp_like("source_ref", F.lit(r"\.(py|tsx?|jsx?|mjs|cjs)$"))).select("repo_id", "source_ref", S.module_name(F.col("source_ref")).alias("module"), S.holds_tests(F.col("source_ref")).alias("test"), "content")
     return code.mapInPandas(lambda batches: _analyse(batches, configs), FACTS)
