@@ -34,7 +34,11 @@ class Provider(Protocol):
 
 
 class BudgetError(RuntimeError):
-    """More calls are needed than the budget allows."""
+    """More calls are needed than the budget allows; answered has those that were made, so that the next run needs fewer."""
+
+    def __init__(self, message: str, answered: DataFrame | None = None):
+        super().__init__(message)
+        self.answered = answered
 
 
 class Scripted:
@@ -137,10 +141,13 @@ def extract_semantic(artifacts: DataFrame, facts: DataFrame, cache: DataFrame, p
     """(candidate facts, new cache rows, warnings). `keep` makes the answers durable, so that the provider is asked once."""
     files = keyed(eligible(artifacts, facts), model_id)
     misses = files.join(cache.select("cache_key"), "cache_key", "left_anti").dropDuplicates(["cache_key"])
-    if budget is not None and (needed := misses.count()) > budget:
-        raise BudgetError(f"{needed} calls are needed, {budget} are allowed")
+    needed = 0 if budget is None else misses.count()
+    over = budget is not None and needed > budget
+    misses = misses.orderBy("cache_key").limit(budget) if over else misses
     answered = keep(misses.select("cache_key", "source_ref", "module", "symbols", "content").mapInPandas(_ask(provider, model_id), _ANSWERED))
     fresh = answered.where("output IS NOT NULL").select(*[c.split()[0] for c in schemas.LLM_CACHE.split(", ")])
+    if over:
+        raise BudgetError(f"{needed} calls are needed, {budget} are allowed", fresh)
     known = cache.unionByName(fresh).dropDuplicates(["cache_key"])
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -158,3 +158,9 @@ def stats(entities: DataFrame, edges: DataFrame, runs: DataFrame) -> DataFrame:
     last = runs.where("status = 'succeeded'").agg(F.max(F.struct("compile_run_id", "commit_sha", "degraded")).alias("last_run"))
     return counts.select("entity_counts", edges.agg(F.count(F.lit(1))).scalar().alias("n_edges"), last.scalar().alias("last_run"))
 
+
+
+def recent_ops(runs: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(op, n) of the last succeeded run of each repository, with its number."""
+    last = runs.where("status = 'succeeded'").groupBy("repo_id").agg(F.max("compile_run_id").alias("compile_run_id"))
+    return deltas.join(last, ["repo_id", "compile_run_id"], "left_semi").groupBy("repo_id", "compile_run_id", "op").agg(F.count(F.lit(1)).alias("n")).orderBy("repo_id", "op")

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from quarrygraph import schemas
 
 STATE = {"entities": schemas.ENTITIES, "edges": schemas.EDGES}
-LOGS = {"deltas": schemas.DELTAS, "edge_deltas": schemas.EDGE_DELTAS, "provenance": schemas.PROVENANCE, "runs": schemas.RUNS}
+LOGS = {"deltas": schemas.DELTAS, "edge_deltas": schemas.EDGE_DELTAS, "provenance": schemas.PROVENANCE, "runs": schemas.RUNS, "facts": schemas.RUN_FACTS, "artifacts": schemas.RUN_ARTIFACTS, "conflicts": schemas.CONFLICTS, "warnings": schemas.WARNINGS, "llm_cache": schemas.LLM_CACHE, "repositories": schemas.REPOSITORIES}
+#: Tables that are renewed as a whole after a commit, in versions of their own that touch neither state nor logs.
+SIDE = {"embeddings": schemas.EMBEDDINGS}
 
 
 class LockedError(RuntimeError):
@@ -37,25 +39,28 @@ class Store:
     def _exists(self, name: str) -> bool:
         return self._fs.exists(self._jpath(f"{self.path}/{name}"))
 
-    def _markers(self) -> list[tuple[int, bool, str]]:
-        """(version, has state, repository) of the committed versions, oldest first: the markers under _committed."""
+    def _markers(self) -> list[tuple[int, str, str]]:
+        """(version, kind: s with state, l logs alone, e a side table; repository) of the committed versions, oldest first: the markers under _committed."""
         if not self._exists("_committed"):
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(self._jpath(f"{self.path}/_committed"))]
         parts = [n.split("_", 2) for n in names if n[0].isdigit()]
-        return sorted((int(v), kind == "s", urllib.parse.unquote(repo)) for v, kind, repo in parts)
+        return sorted((int(v), kind, urllib.parse.unquote(repo)) for v, kind, repo in parts)
 
     def versions(self) -> list[int]:
         return [v for v, _, _ in self._markers()]
 
+    def repositories(self) -> set[str]:
+        return {repo for _, _, repo in self._markers()}
+
     def read(self, table: str) -> DataFrame:
-        """State tables as of each repository's last version, logs of all versions."""
-        ddl = {**STATE, **LOGS}[table]
+        """State and side tables as of each repository's last version of them, logs of all versions."""
+        ddl = {**STATE, **LOGS, **SIDE}[table]
         done = self._markers()
-        if table in STATE:
-            wanted = sorted({repo: v for v, state, repo in done if state}.values())
+        if table in LOGS:
+            wanted = [v for v, kind, _ in done if kind != "e"]
         else:
-            wanted = [v for v, _, _ in done]
+            wanted = sorted({repo: v for v, kind, repo in done if kind == ("s" if table in STATE else "e")}.values())
         if not wanted:
             return self.spark.createDataFrame([], ddl)
         return self.spark.read.schema(ddl).parquet(*[f"{self.path}/v={v}/{table}" for v in wanted])
@@ -83,18 +88,20 @@ class Store:
         """Write the tables of a repository's version, then its marker. State tables come together or not at all (then the last state stays); logs that are not given are empty."""
         if version in self.versions():
             raise ValueError(f"version {version} is committed already")
-        state = [name for name in STATE if name in tables]
+        state, side = ([name for name in known if name in tables] for known in (STATE, SIDE))
+        if side and len(tables) > len(side):
+            raise ValueError("a version of a side table holds nothing else")
         if state and len(state) < len(STATE):
             raise ValueError("a version has all state tables or none")
         root = f"{self.path}/v={version}"
         self._fs.delete(self._jpath(root), True)
-        for name, ddl in {**({k: STATE[k] for k in state}), **LOGS}.items():
+        for name, ddl in (SIDE if side else {**({k: STATE[k] for k in state}), **LOGS}).items():
             frame = tables.get(name)
             frame = self.spark.createDataFrame([], ddl) if frame is None else frame
             wanted = self.spark.createDataFrame([], ddl).schema
             frame.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted]).write.mode("overwrite").parquet(f"{root}/{name}")
         self._fs.mkdirs(self._jpath(f"{self.path}/_committed"))
-        if not self._create(f"_committed/{version}_{'s' if state else 'l'}_{urllib.parse.quote(repo_id, safe='')}"):
+        if not self._create(f"_committed/{version}_{'e' if side else 's' if state else 'l'}_{urllib.parse.quote(repo_id, safe='')}"):
             raise RuntimeError("the version could not be committed")
 
     def lock(self, repo_slug: str, lease_seconds: int = 6 * 3600):

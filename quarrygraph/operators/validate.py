@@ -13,8 +13,11 @@ HEADER = "kc-covers:"
 
 
 def parse_claims(source: str) -> list[str] | None:
-    """Claimed slugs below the header; None without a header, [] where nothing is claimed."""
-    doc = ast.get_docstring(ast.parse(source))
+    """Claimed slugs below the header; None without a header or where the file doesn't parse, [] where nothing is claimed."""
+    try:
+        doc = ast.get_docstring(ast.parse(source))
+    except (SyntaxError, ValueError):
+        return None
     lines = doc.splitlines() if doc else []
     at = next((i for i, line in enumerate(lines) if line.strip() == HEADER), None)
     if at is None:
@@ -30,7 +33,7 @@ def parse_claims(source: str) -> list[str] | None:
 
 def claims(files: DataFrame) -> DataFrame:
     """files(test_file, source) + claims: array<string>, null without a header."""
-    return files.withColumn("claims", F.udf(parse_claims, "array<string>")("source"))
+    return files.withColumn("claims", F.udf(lambda text: parse_claims(text), "array<string>", useArrow=True)("source"))
 
 
 def citable(plan: DataFrame) -> DataFrame:

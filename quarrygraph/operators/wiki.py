@@ -8,10 +8,13 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrygraph import schemas
 from quarrygraph.functions import scalars as S
 
 VERSION = "0.2"
 HISTORY = 5
+#: Names on one page of a listing.
+PAGE = 1000
 #: Headings of relations, by relation and direction.
 LABELS = {
     ("depends_on", "out"): "Depends on", ("depends_on", "in"): "Used by", ("contains", "out"): "Contains", ("contains", "in"): "Part of", ("covers", "out"): "Covers", ("covers", "in"): "Covered by",
@@ -58,52 +61,97 @@ def pages(entities: DataFrame, edges: DataFrame, deltas: DataFrame, dirty: DataF
     recent = deltas.join(todo.select("repo_id", "slug"), ["repo_id", "slug"], "left_semi").withColumn("n", F.row_number().over(newest)).where(F.col("n") <= HISTORY)
     past = recent.groupBy("repo_id", "slug").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "compile_run_id", "op"))), lambda h: F.struct(h["compile_run_id"].alias("compile_run_id"), h["op"].alias("op"))).alias("history"))
     rows = todo.join(entities, ["repo_id", "slug"]).join(linked, ["repo_id", "slug"], "left").join(past, ["repo_id", "slug"], "left")
-    write = F.udf(lambda slug, kind, name, payload, relations, history: render(slug, kind, name, payload, relations, history), "string")
-    return rows.select("repo_id", S.page_path(F.col("slug")).alias("path"), "slug", write("slug", "entity_type", "name", "payload", "relations", "history").alias("text"))
+    shaped = rows.select("repo_id", S.page_path(F.col("slug")).alias("path"), "slug", "entity_type", "name", "payload", "relations", "history")
+    return shaped.mapInArrow(_render_batches, "repo_id string, path string, slug string, text string")
 
 
-def index_page(entities: DataFrame) -> DataFrame:
-    """(path, text) of the index: owners of pages by type."""
-    shown = entities.where("entity_type = 'wiki_page'").select(F.col("owner_slug").alias("slug"), "repo_id").join(entities, ["repo_id", "slug"])
-    groups = shown.groupBy("entity_type").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- ["), "name", F.lit("]("), "slug", F.lit(".md)")))), "\n").alias("items"))
-    text = groups.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("## "), "entity_type", F.lit("\n\n"), "items"))), "\n\n").alias("body"))
-    return text.select(F.lit("index.md").alias("path"), F.concat(F.lit(f"---\nokf_version: {VERSION}\n---\n\n# Index\n\n"), "body", F.lit("\n")).alias("text"))
+def _render_batches(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        repo, path, *parts = batch.columns
+        lists = [part.to_pylist() for part in parts]
+        yield pa.RecordBatch.from_arrays([repo, path, parts[0], pa.array([render(*row) for row in zip(*lists)], pa.string())], ["repo_id", "path", "slug", "text"])
+
+
+def index_pages(entities: DataFrame) -> DataFrame:
+    """(path, text) of the index: one page of counts, and listings of the owners of pages by type, PAGE names on each."""
+    shown = entities.where("entity_type = 'wiki_page'").select(F.col("owner_slug").alias("slug"), "repo_id").join(entities, ["repo_id", "slug"]).select("entity_type", "slug", "name")
+    place = F.row_number().over(Window.partitionBy("entity_type").orderBy("slug")) - 1
+    numbered = shown.withColumn("page", F.floor(place / PAGE).cast("int") + 1)
+    listing = numbered.groupBy("entity_type", "page").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slug", "name"))), lambda x: F.concat(F.lit("- ["), x["name"], F.lit("](../"), x["slug"], F.lit(".md)"))), "\n").alias("items"))
+    path = F.concat(F.lit("index/"), F.col("entity_type"), F.lit("-"), F.col("page").cast("string"), F.lit(".md"))
+    parts = listing.select(path.alias("path"), F.concat(F.lit("---\ntype: index\ntitle: "), "entity_type", F.lit("\n---\n\n# "), "entity_type", F.lit("\n\n"), "items", F.lit("\n")).alias("text"))
+    said = listing.select("entity_type", "page", F.concat(F.lit("- ["), "entity_type", F.lit(" "), F.col("page").cast("string"), F.lit("]("), path, F.lit("): "), F.col("n").cast("string")).alias("line"))
+    lines = said.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entity_type", "page", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    top = lines.select(F.lit("index.md").alias("path"), F.concat(F.lit(f'---\nokf_version: "{VERSION}"\n---\n\n# Index\n\n[Recent changes](recent-changes.md) - [Log](log.md)\n\n'), F.coalesce("lines", F.lit("")), F.lit("\n")).alias("text"))
+    return top.unionByName(parts)
 
 
 def log_page(deltas: DataFrame, runs: DataFrame) -> DataFrame:
-    """(path, text) of the log: counts of changes by run, the newest first."""
+    """(path, text) of the log: succeeded runs by day with counts of their changes, the newest first; one line a run."""
     per = deltas.groupBy("compile_run_id", "op").agg(F.count(F.lit(1)).alias("n")).groupBy("compile_run_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", F.col("n").cast("string"), "op"))), ", ").alias("said"))
-    joined = runs.where("status = 'succeeded'").join(per, "compile_run_id", "left")
-    lines = joined.agg(F.transform(F.sort_array(F.collect_list(F.struct("compile_run_id", F.coalesce("said", F.lit("no change")).alias("said"))), asc=False), lambda x: F.concat(F.lit("- run "), x["compile_run_id"].cast("string"), F.lit(": "), x["said"])).alias("lines"))
-    return lines.select(F.lit("log.md").alias("path"), F.concat(F.lit("# Log\n\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("text"))
+    joined = runs.where("status = 'succeeded'").join(per, "compile_run_id", "left").withColumn("day", F.coalesce(F.date_format("finished_at", "yyyy-MM-dd"), F.lit("unknown day")))
+    line = F.concat(F.lit("- run "), F.col("compile_run_id").cast("string"), F.lit(" ("), F.coalesce(F.substring("sha", 1, 12), F.lit("no commit")), F.lit("): "), F.coalesce("said", F.lit("no change")))
+    days = joined.groupBy("day").agg(F.max("compile_run_id").alias("last"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("compile_run_id", line.alias("line"))), asc=False), lambda x: x["line"]), "\n").alias("lines"))
+    whole = days.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("last", "day", "lines")), asc=False), lambda x: F.concat(F.lit("## "), x["day"], F.lit("\n\n"), x["lines"])), "\n\n").alias("body"))
+    return whole.select(F.lit("log.md").alias("path"), F.concat(F.lit("# Log\n\n"), F.coalesce("body", F.lit("")), F.lit("\n")).alias("text"))
+
+
+def recent_page(deltas: DataFrame, runs: DataFrame) -> DataFrame:
+    """(path, text): the changes of the last succeeded run by kind, PAGE names of each kind; the rest as a count."""
+    last = runs.where("status = 'succeeded'").agg(F.max("compile_run_id").alias("compile_run_id"))
+    of_last = deltas.join(last, "compile_run_id", "left_semi")
+    ranked = of_last.withColumn("n", F.row_number().over(Window.partitionBy("op").orderBy("slug")))
+    name = F.when(F.col("entity_type").isin(*schemas.PAGE_OWNERS), F.concat(F.lit("["), "slug", F.lit("]("), "slug", F.lit(".md)"))).otherwise(F.concat(F.lit("`"), "slug", F.lit("`")))
+    listed = ranked.groupBy("op").agg(F.max("n").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= PAGE, F.struct("n", name.alias("name"))))), lambda x: F.concat(F.lit("- "), x["name"])), "\n").alias("names"))
+    more = F.when(F.col("total") > PAGE, F.concat(F.lit("\n- and "), (F.col("total") - PAGE).cast("string"), F.lit(" more"))).otherwise("")
+    body = listed.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("## "), "op", F.lit("\n\n"), "names", more))), "\n\n").alias("body"))
+    text = F.concat(F.lit('---\ntype: recent_changes\ntitle: "Recent changes"\n---\n\n# Recent changes\n\n'), F.when(F.coalesce("body", F.lit("")) == "", F.lit("No changes.")).otherwise(F.col("body")), F.lit("\n"))
+    return body.select(F.lit("recent-changes.md").alias("path"), text.alias("text"))
+
+
+def summary_pages(entities: DataFrame, deltas: DataFrame, runs: DataFrame) -> DataFrame:
+    return index_pages(entities).unionByName(log_page(deltas, runs)).unionByName(recent_page(deltas, runs))
+
+
+def _files(folder: str):
+    """(file system, path) of a folder: a plain path, or a URI of any system that tasks and driver share."""
+    import os
+
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
 
 
 def emit(rendered: DataFrame, folder: str) -> None:
-    """Write (path, text) rows below a folder that all tasks share."""
+    """Write (path, text) rows below a folder that all tasks share. A page that is written again is the same page, so a lost task does no harm."""
 
     def write(rows) -> None:
-        import os
-
+        system, root = _files(folder)
         for r in rows:
-            target = os.path.join(folder, r["path"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(target, "w", encoding="utf-8") as f:
-                f.write(r["text"])
+            target = f"{root}/{r['path']}"
+            system.create_dir(posixpath.dirname(target), recursive=True)
+            with system.open_output_stream(target) as f:
+                f.write(r["text"].encode())
 
     rendered.select("path", "text").foreachPartition(write)
 
 
 def prune(spark: SparkSession, entities: DataFrame, folder: str) -> list[str]:
-    """Delete pages below the folder that no live page owns; index.md and log.md stay."""
-    import os
+    """Delete pages below the folder that no live page owns; the index, the log and the recent changes stay."""
+    from pyarrow import fs
 
-    there = [os.path.relpath(os.path.join(d, n), folder) for d, _, names in os.walk(folder) for n in names if n.endswith(".md") and not (d == folder and n in ("index.md", "log.md"))]
+    system, root = _files(folder)
+    found = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+    there = [posixpath.relpath(f.path, root) for f in found if f.is_file and f.path.endswith(".md")]
+    there = [p for p in there if p not in ("index.md", "log.md", "recent-changes.md") and not p.startswith("index/")]
     if not there:
         return []
     live = entities.where("entity_type = 'wiki_page'").select(S.page_path(F.col("owner_slug")).alias("path"))
     gone = sorted(r["path"] for r in spark.createDataFrame([(p,) for p in there], "path string").join(live, "path", "left_anti").toLocalIterator())
     for path in gone:
-        os.remove(os.path.join(folder, path))
+        system.delete_file(f"{root}/{path}")
     return gone
 
 

@@ -23,7 +23,12 @@ class Graph:
     vectors: DataFrame | None = None
     embedder: object = None
 
+    def check(self) -> None:
+        if self.repo_id not in self.store.repositories():
+            raise LookupError(f"repository {self.repo_id!r} is not in this store: initialise and compile it first")
+
     def _table(self, name: str) -> DataFrame:
+        self.check()
         return self.store.read(name).where(F.col("repo_id") == self.repo_id)
 
     @property
@@ -133,7 +138,7 @@ class Graph:
         warnings = []
         for step in (
             lambda: wiki.emit(wiki.pages(self.entities, self.edges, self._table("deltas"), dirty), folder),
-            lambda: wiki.emit(wiki.index_page(self.entities).unionByName(wiki.log_page(self._table("deltas"), self._table("runs"))), folder),
+            lambda: wiki.emit(wiki.summary_pages(self.entities, self._table("deltas"), self._table("runs")), folder),
             lambda: wiki.prune(self.store.spark, self.entities, folder),
         ):
             try:

@@ -66,6 +66,14 @@ class RestForge:
                 rows.append((pr["number"], pr.get("title"), pr.get("body"), _time(pr["merged_at"]), pr.get("merge_commit_sha"), files))
         return spark.createDataFrame(sorted(rows, key=lambda r: (r[3], r[0])), schemas.MERGED_PRS)
 
+    def one_pr(self, spark: SparkSession, number: int) -> DataFrame:
+        """A merged pull request by its number; one that isn't merged raises."""
+        pr = self.get(f"repos/{self.repo}/pulls/{number}")
+        if not pr.get("merged_at"):
+            raise LookupError(f"pull request {number} is not merged")
+        files = [(f["filename"], CHANGES.get(f["status"], f["status"]), f.get("previous_filename")) for f in self.pages(f"repos/{self.repo}/pulls/{number}/files")]
+        return spark.createDataFrame([(number, pr.get("title"), pr.get("body"), _time(pr["merged_at"]), pr.get("merge_commit_sha"), files)], schemas.MERGED_PRS)
+
     def commits(self, spark: SparkSession, branch: str, since: datetime.datetime | None) -> DataFrame:
         rows, after = [], f"&since={since.isoformat()}Z" if since else ""
         for c in self.pages(f"repos/{self.repo}/commits?sha={branch}{after}"):

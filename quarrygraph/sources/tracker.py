@@ -74,6 +74,18 @@ def configured(spark: SparkSession, config: dict, folder: str, keys: list[str])
     raise ValueError(f"unknown tracker source {source!r}")
 
 
+def everything(spark: SparkSession, config: dict, folder: str) -> DataFrame | None:
+    """All issues of a tracker file, by key; None without one, or where it can't be read: a full compile goes on without issues."""
+    if not config.get("enabled") or config.get("source", "rest") != "file":
+        return None
+    try:
+        rows = from_file(spark, os.path.join(folder, config["path"])).orderBy("key")
+        rows.count()
+        return rows
+    except Exception:
+        return None
+
+
 def facts(issues: DataFrame, linked: DataFrame, repo_id: str) -> DataFrame:
     """(repo_id, fact_type, payload, ...) of issues joined to linked(key, linked_pr)."""
     joined = issues.join(linked, "key", "left")
