@@ -84,7 +84,7 @@ class PartEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         said = [t.decode() for t in texts]
-        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in said]
+        plain = [(t.isascii() or _PLAIN.fullmatch(t) is not None) and "<|" not in t for t in said]
         split = [_PIECE.findall(t.lower()) if p else raw.split() for t, raw, p in zip(said, texts, plain)]
         pieces = self._known(self.pieces, [s for s, p in zip(split, plain) if p], self._learn_pieces)
         parts = self._known(self.parts, [s for s, p in zip(split, plain) if not p], self._learn_parts)
@@ -103,7 +103,7 @@ def _writer(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = _encoder(path), 0
         for batch in batches:
-            texts = [t.as_py() or b"" for t in batch.column(2).cast(pa.binary())]
+            texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             at = 0
             while at < len(texts):
                 upto, size = at, 0
