@@ -5,7 +5,7 @@ ascending doc_id order, one file for each range. A row holds the ids of one docu
 of its range and the ids before it within the range; readers take stripes in parallel, and filters on doc_id prune files,
 stripes and row groups by their statistics and Bloom filters.
 
-Equal pieces of text have equal ids and are encoded once while a bounded store holds them.
+Equal words and equal pieces have equal ids: a word is looked up once in a group, a piece encoded once while a bounded store holds it.
 
 Defined cases: null text is empty and has the end id alone; rows with a null doc_id come first; rows that repeat a
 doc_id stand in the order of their texts; an empty table gives an empty result; further columns, whatever their names, are ignored.
@@ -17,9 +17,11 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,28 +33,34 @@ END_ID = 1
 ROW_INDEX_STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 _STORE = 600_000
-_GROUP_BYTES = 2_000_000
-#: Texts of these characters need no normal form, and their lower case is one to one.
+_GROUP_BYTES = 12_000_000
+_GROUP_ROWS = 4_000
+#: Words of these characters need no normal form, and their lower case is one to one.
 _PLAIN = re.compile("[\\x00-\\x7fÀ-ÖØ-öø-ÿ]*")
-#: How the vocabulary splits such a text once it is in lower case (fixed by the file).
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \\t-\\ra-zß-öø-ÿ0-9]+")
+#: How the vocabulary splits such a word once it is in lower case (fixed by the file; letters stand first, as nothing else
+#: begins with one), and the blank between two words.
+_PIECE = re.compile("[a-zß-öø-ÿ]+| |[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \\t-\\ra-zß-öø-ÿ0-9]+")
 _ENCODERS: dict[str, PartEncoder] = {}
 
 
 class PartEncoder:
     """Ids of UTF-8 texts as little-endian unsigned 32-bit integers.
 
-    Plain texts (ASCII and the letters of Latin-1, without a special token's mark) are split here as the vocabulary's
-    rules split them, so that a piece is known whatever its case and neighbours; each new piece is encoded by the
-    library. Other texts go to the library by parts between ASCII white space.
+    The vocabulary never joins what ASCII white space parts, so each distinct word of a group of texts is encoded once, and
+    Arrow puts the ids together. Plain words (ASCII and the letters of Latin-1, without a special token's mark) are split
+    further here as the vocabulary's rules split them, so that a piece is known whatever its case and neighbours; each new
+    piece goes to the library's model. Other words go to the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Pieces are in normal form and apart: the model is left to do.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.pieces: dict[str, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(True), bool)
         for token, k in self.tokenizer.get_vocab(True).items():
             self.ends[k] = token.endswith("</w>")
@@ -61,34 +69,68 @@ class PartEncoder:
         """Every piece is one pre-token and so ends with its only word-end token: many are encoded as one text."""
         for k in range(0, len(fresh), 5_000):
             some = fresh[k : k + 5_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             raw, ends = ids.tobytes(), (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(ends) != len(some):
                 raise ValueError("pieces and word ends differ")
             for piece, a, b in zip(some, [0, *ends], ends):
                 self.pieces[piece] = raw[4 * a : 4 * b]
 
-    def _learn_parts(self, fresh: list[bytes]) -> None:
+    def _learn_parts(self, fresh: list[str]) -> None:
         for k in range(0, len(fresh), 20_000):
             some = fresh[k : k + 20_000]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.parts[part] = np.array(found.ids, "<u4").tobytes()
 
-    def _known(self, store: dict, split: list[list], learn) -> dict:
-        fresh = set().union(*split).difference(store)
+    def _known(self, store: dict[str, bytes], wanted: set[str], learn) -> dict[str, bytes]:
+        fresh = wanted.difference(store)
         if len(store) + len(fresh) > _STORE:
             store.clear()
-            fresh = set().union(*split)
+            fresh = wanted
         learn(list(fresh))
         return store
 
+    def _plain_words(self, words: list[str]) -> tuple[bytes, np.ndarray]:
+        """The ids of plain words one after another, and how many each word has."""
+        split = _PIECE.findall("".join([" ".join(words).lower(), " "])) if words else []
+        known = self._known(self.pieces, set(split) - {" "}, self._learn_pieces)
+        known[" "] = b""
+        found = list(map(known.__getitem__, split))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # Only the blank behind each word has no ids.
+        return b"".join(found), np.diff(np.cumsum(sizes)[sizes == 0], prepend=0)
+
+    def _other_words(self, words: list[str]) -> tuple[bytes, np.ndarray]:
+        known = self._known(self.parts, set(words), self._learn_parts)
+        found = [known[w] for w in words]
+        return b"".join(found), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def lists(self, texts: pa.Array, end: bytes = b"") -> pa.ListArray:
+        """The ids of each text (null: empty), and the end ids behind them."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        held, codes = coded.dictionary, np.asarray(coded.indices)
+        # No word has a blank, so one string carries all of them.
+        said = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), " ")[0].as_py()
+        words, others = said.split(" ") if len(held) else [], []
+        if "<|" in said or not (said.isascii() or _PLAIN.fullmatch(said)):
+            plain = np.fromiter(("<|" not in w and (w.isascii() or _PLAIN.fullmatch(w) is not None) for w in words), bool, len(words))
+            rank = np.empty(len(words), np.int64)
+            rank[np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))] = np.arange(len(words))
+            codes = rank[codes]
+            words, others = list(compress(words, plain)), list(compress(words, ~plain))
+        (first, first_sizes), (second, second_sizes) = self._plain_words(words), self._other_words(others)
+        sizes = np.concatenate((first_sizes, second_sizes, [len(end) // 4]))
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.frombuffer(first + second + end, "<i4")))
+        # The end stands behind each text as one more word.
+        offsets = np.asarray(split.offsets)
+        ends = offsets[1:] - offsets[0]
+        codes = np.insert(codes, ends, len(sizes) - 1)
+        upto = np.cumsum(sizes[codes])[ends + np.arange(len(ends))]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], upto)).astype(np.int32)), ids.take(pa.array(codes)).flatten())
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        said = [t.decode() for t in texts]
-        plain = [(t.isascii() or _PLAIN.fullmatch(t) is not None) and "<|" not in t for t in said]
-        split = [_PIECE.findall(t.lower()) if p else raw.split() for t, raw, p in zip(said, texts, plain)]
-        pieces = self._known(self.pieces, [s for s, p in zip(split, plain) if p], self._learn_pieces)
-        parts = self._known(self.parts, [s for s, p in zip(split, plain) if not p], self._learn_parts)
-        return [b"".join(map((pieces if p else parts).__getitem__, s)) for s, p in zip(split, plain)]
+        return [np.array(ids, "<u4").tobytes() for ids in self.lists(pa.array(texts, pa.binary()).cast(pa.string())).to_pylist()]
 
 
 def _encoder(path: str) -> PartEncoder:
@@ -103,17 +145,15 @@ def _writer(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = _encoder(path), 0
         for batch in batches:
-            texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            at = 0
+            texts = batch.column(2)
+            sizes, at = pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 0
             while at < len(texts):
                 upto, size = at, 0
-                while upto < len(texts) and (size := size + len(texts[upto])) <= _GROUP_BYTES or upto == at:
+                while upto < len(texts) and (size := size + sizes[upto]) <= _GROUP_BYTES or upto == at:
                     upto += 1
-                ids = [x + end for x in encoder.encode(texts[at:upto])]
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
-                offsets = np.concatenate(([0], np.cumsum(counts)))
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, upto - at), batch.column(1).slice(at, upto - at), pa.array(before + offsets[:-1]), pa.array(counts), lists], names=["part", "doc_id", "before", "n_tokens", "ids"])
+                lists = encoder.lists(texts.slice(at, upto - at), end)
+                offsets = np.asarray(lists.offsets).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, upto - at), batch.column(1).slice(at, upto - at), pa.array(before + offsets[:-1]), pa.array(np.diff(offsets)), lists], names=["part", "doc_id", "before", "n_tokens", "ids"])
                 before += int(offsets[-1])
                 at = upto
 
@@ -124,7 +164,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     """Write the ids of every row as ORC, in ascending order of doc_id across and within the files."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    coded = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(tidy(_writer(public_tokenizers.path(vocabulary), end_id)), "part int, doc_id long, before long, n_tokens long, ids array<int>")
+    coded = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(tidy(_writer(public_tokenizers.path(vocabulary), end_id), _GROUP_ROWS), "part int, doc_id long, before long, n_tokens long, ids array<int>")
     writer = coded.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
     writer.option("orc.create.index", "true").option("orc.row.index.stride", str(ROW_INDEX_STRIDE)).option("orc.stripe.size", str(STRIPE_BYTES)).orc(path)
 
