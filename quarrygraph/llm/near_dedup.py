@@ -116,9 +116,8 @@ def _sketcher(k: int):
     return run
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, row digests if docs has them, n, node, mark): shingle count, class digest and signature of every row."""
-    digests = [c for c in ("__row_a", "__row_b") if c in docs.columns]
+def sketches(docs: DataFrame, k: int, digests: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the row digests named, n, node, mark): shingle count, class digest and signature of every row."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *digests)
     return rows.mapInArrow(tidy(_sketcher(k)), ", ".join(["doc_id long", *[f"{c} long" for c in digests], "n long, node binary, mark binary"]))
 
@@ -377,10 +376,10 @@ def components(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
     return _joined(roots, zone_links(now, outside, sets, percent))
 
 
-def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, k: int, percent: int, digests: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The sketches of all rows, and (of, root): the component of every class."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = durable(sketches(docs, k))
+    marked = durable(sketches(docs, k, digests))
     classes = durable(marked.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("mark").alias("mark")))
     linked = components(classes, texts, k, percent)
     return marked, classes.select(F.col("node").alias("of"), "doc").join(linked.select(F.col("node").alias("of"), "root"), "of", "left").select("of", "doc", F.coalesce("root", "of").alias("root"))
@@ -404,7 +403,7 @@ def unique(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("row"), F.xxhash64(F.to_json(row), F.lit(1)).alias("__row_a"), F.xxhash64(F.to_json(row), F.lit(2)).alias("__row_b"))
-    marked, grouped = _grouped(keyed.select("row.doc_id", "row.text", "__row_a", "__row_b"), k, percent)
+    marked, grouped = _grouped(keyed.select("row.doc_id", "row.text", "__row_a", "__row_b"), k, percent, ("__row_a", "__row_b"))
     ranked = marked.select("node", F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), "__row_a", "__row_b").alias("m"))
     of_class = durable(ranked.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("m").alias("m")))
     firsts = of_class.join(grouped.select(F.col("of").alias("node"), "root"), "node").groupBy("root").agg(F.min("m").alias("m")).select("m.__row_a", "m.__row_b")
