@@ -338,7 +338,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root) after further links."""
     chains = roots.where(F.col("node") != F.col("root")).select(F.col("node").alias("u"), F.col("root").alias("v"))
-    return durable(connected_components(chains.unionByName(links)))
+    return connected_components(chains.unionByName(durable(links)))  # links come from Python: no second worker beside it
 
 
 def _topped(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -358,7 +358,7 @@ def components(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
     # First each class with its likeliest partner, then what still lies between different components.
     sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "same"))
     best = sides.groupBy("a").agg(F.max(F.struct("same", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
-    roots = durable(connected_components(durable(confirm(best, sets, percent))))
+    roots = connected_components(durable(confirm(best, sets, percent)))
     at = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     bt = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(at, "a", "left").join(bt, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))

@@ -74,3 +74,34 @@ def test_long_chains_settle(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+@pytest.mark.parametrize("held", [1, 7, 60, 10_000])
+def test_components_with_any_number_of_edges_held(spark, held):
+    rnd = random.Random(held)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(40)] + [(None, 3), (3, None)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if None not in (a, b) and a != b and (p := find(a)) != (q := find(b)):
+            root[max(p, q)] = min(p, q)
+    want = {x: find(x) for x in list(root)}
+    for kind, name in (("long", lambda x: x), ("binary", lambda x: None if x is None else x.to_bytes(2, "big")), ("string", lambda x: None if x is None else f"{x:04}")):
+        if kind == "long" or held == 60:
+            table = spark.createDataFrame([(name(a), name(b)) for a, b in edges], f"u {kind}, v {kind}").repartition(5)
+            got = [(r.node, r.root) for r in connected_components(table, held=held).collect()]
+            assert len(got) == len(want) and {(bytes(a), bytes(b)) if kind == "binary" else (a, b) for a, b in got} == {(name(a), name(b)) for a, b in want.items()}
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Every job costs the driver memory; few links need no rounds over all tasks."""
+    spark.sparkContext.setJobGroup("components", "")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long")
+    assert connected_components(edges).count() == 201
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 8
